@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, topk, url_filter
+from . import chat_format, language_id, packing, sharding, topk, url_filter
 from .common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -23,12 +23,31 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shard_by_bytes(docs).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.train(docs.where(~held_out()))
+    return language_id.identify(docs, profiles, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op10_topk": op10_topk}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE_SQL = {
