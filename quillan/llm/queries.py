@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, packing, sharding, topk, url_filter
+from . import chat_format, decontaminate, language_id, packing, pii, sharding, topk, url_filter
 from .common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
@@ -47,7 +55,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op10_topk": op10_topk}
+QUERIES = {"op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op10_topk": op10_topk}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE_SQL = {

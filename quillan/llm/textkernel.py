@@ -17,6 +17,8 @@ SLICE_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCT = _SPACE.copy()
+_PUNCT[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -47,16 +49,16 @@ def _powers(n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a slice of rows.
+    """The words of a slice of rows; with ``punct`` ASCII punctuation separates words too.
 
     ``start``/``end`` are byte positions in ``data``; ``row_first[i]`` is the
     index of row i's first word and ``row_first[-1]`` the number of words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, punct: bool = False):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        solid = ~_SPACE[data]
+        solid = ~(_PUNCT if punct else _SPACE)[data]
         first = solid.copy()
         if len(solid):
             first[1:] &= ~solid[:-1]
@@ -135,7 +137,7 @@ def run_starts(words: Words, n: int) -> np.ndarray:
     return rows[:m] == rows[n - 1 :]
 
 
-def slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, lower: bool = False, punct: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) over slices of a string column; null rows have no words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -152,5 +154,24 @@ def slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> I
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
         to = min(n, max(to, at + 1))
-        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
+        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, punct)
         at = to
+
+
+class HashSet:
+    """Membership and position in a sorted set of 64-bit hashes; a bit table rejects most misses."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values.astype(np.uint64))
+        bits = max(16, int(len(self.values)).bit_length() + 4)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, dtype=bool)
+        self.table[self.values & self.mask] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into h, index into values) of all members."""
+        maybe = np.flatnonzero(self.table[h & self.mask])
+        at = np.searchsorted(self.values, h[maybe])
+        ok = at < len(self.values)
+        ok[ok] = self.values[at[ok]] == h[maybe[ok]]
+        return maybe[ok], at[ok]
