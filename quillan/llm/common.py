@@ -27,8 +27,3 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillan-checkpoint-"))
     return df.checkpoint()
 
-
-def fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows out by keys to the session's number of shuffle partitions."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *[F.col(k) for k in keys])

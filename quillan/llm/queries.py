@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, packing, pii, sharding, topk, url_filter
+from . import chat_format, decontaminate, language_id, packing, pii, sharding, substring_dedup, topk, url_filter
 from .common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -55,10 +60,33 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op10_topk": op10_topk}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) AS g
+  FROM docs, unnest(range(1, len(ws) - 18)) AS t(s)
+), later AS (
+  SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, s + i AS p FROM later, range(20) AS r(i)
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM docs
+), kept AS (
+  SELECT words.doc_id, words.w, words.p, gone.p IS NOT NULL AS removed
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p
+), sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed,
+    coalesce(string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT removed), '') AS k
+  FROM kept GROUP BY doc_id
+)
+SELECT docs.doc_id, len(ws)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM docs LEFT JOIN sums ON sums.doc_id = docs.doc_id
+""",
     "op5_url_filter": f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages
