@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, packing, pii, sharding, substring_dedup, topk, url_filter
+from . import chat_format, decontaminate, language_id, near_dedup, packing, pii, sharding, substring_dedup, topk, url_filter
 from .common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -55,12 +55,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_near_dedup": op9_near_dedup, "op10_topk": op10_topk}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE_SQL = {
@@ -104,6 +108,26 @@ hits AS (
 )
 SELECT page_id, u.host, u.path, rule, coalesce(v, 'allow') AS verdict
 FROM u LEFT JOIN hits ON hits.n = 1 AND hits.host = u.host AND hits.path = u.path
+""",
+    "op9_near_dedup": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[s:s + 4], ' ')) AS g
+  FROM docs, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(s) WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh AS a JOIN sh AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM shared JOIN n AS x ON x.doc_id = u JOIN n AS y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach(doc_id, to_id) AS (
+  SELECT doc_id, doc_id FROM docs UNION SELECT reach.doc_id, v FROM reach JOIN links ON u = to_id
+), comp AS (
+  SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT comp.doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id, comp.doc_id = component_id AS kept
+FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id
 """,
     "op10_topk": """
 WITH c AS (
