@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where
-    that is unset (tests on one machine) a temporary folder is used.
+    It is the one that ``spark.checkpoint.dir`` names; only where that is
+    unset (tests on one machine) a temporary folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillan-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillan-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's checkpoint folder and go on from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet below the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
