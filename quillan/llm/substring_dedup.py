@@ -7,7 +7,8 @@ inside an edge, a function of the edge's words alone) form a path, and a path
 is the unit that moves.  All occurrences of an edge have the same anchor, so:
 
 1. Anchors are counted; an edge can only repeat if its anchor does.
-2. Paths with repeated anchors are joined with the first occurrence (document,
+2. Texts that are equal as a whole are settled by a grouping on their hash.
+   Paths with repeated anchors are joined with the first occurrence (document,
    start) of an equal path: repeated paths compact to that source coordinate.
 3. An anchor with one path is nonbranching and is done with.  Where an anchor
    has several paths the graph branches; the first occurrences of those paths
@@ -116,7 +117,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     n, ids, distinct = rows.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == distinct:
-        return rows.select(F.col("doc_id").alias("d"), "t")
+        # No id is null here; the condition makes every use read the texts alike, so that all share one exchange.
+        return rows.select(F.col("doc_id").alias("d"), "t").where("d is not null")
     rows = rows.withColumn("th", F.xxhash64("t", F.hash("t")))
     names = rows.select("doc_id", "th").distinct().orderBy(F.asc_nulls_last("doc_id"), "th")
     numbered = names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("i long, h long, d long")
@@ -151,7 +153,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     solid = texts.where("t is not null")
     repeated = solid.select("t").mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
-    listed = solid.mapInArrow(name, "a long, d long").join(repeated, "a", "left_semi").groupBy("d").agg(F.collect_list("a").alias("anchors"))
+    # Copies of whole texts repeat throughout; only the first of them takes part in what follows.
+    digests = solid.select("d", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit("copy"), "t").alias("h2"))
+    copied = digests.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last")
+    copies = digests.join(copied, ["h1", "h2"]).where("d <> first").select("d").distinct()
+    named = solid.mapInArrow(name, "a long, d long").join(repeated, "a", "left_semi")
+    listed = named.groupBy("d").agg(F.collect_list("a").alias("anchors")).join(copies.select("d", F.lit(True).alias("copy")), "d", "left")
     whole = texts.join(listed, "d", "left")
 
     def emit_paths(batches):
@@ -161,8 +168,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 k = np.flatnonzero(p.with_anchors(b.column("anchors"), at, to - at) & p.first_here())
                 yield pa.RecordBatch.from_arrays([_array(p.anchor[k]), _array(p.content[k]), b.column("d").take(pa.array(p.row[k] + at)), pa.array(p.local()[k].astype(np.int32)), pa.array(p.size[k].astype(np.int32))], ["a", "c", "d", "s", "n"])
 
-    paths = whole.where("anchors is not null").mapInArrow(emit_paths, "a long, c long, d long, s int, n int")
-    source = paths.groupBy("a", "c").agg(F.min(F.struct("d", "s")).alias("src"), F.count(F.lit(1)).alias("times"))
+    paths = whole.where("anchors is not null and copy is null").mapInArrow(emit_paths, "a long, c long, d long, s int, n int")
+    # The condition is always true; it keeps both columns in each use, so that all uses share one exchange.
+    source = paths.groupBy("a", "c").agg(F.min(F.struct("d", "s")).alias("src"), F.count(F.lit(1)).alias("times")).where("times > 0 and src is not null")
 
     # Branching anchors: their paths' first occurrences are expanded to edges.
     branching = source.groupBy("a").count().where("count > 1").select("a")
@@ -179,17 +187,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 size = p.size[k]
                 each = np.repeat(k, size)
                 step = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([_array(p.anchor[each]), _array(p.content[each]), _array(p.edges[p.start[each] + step]), b.column("d").take(pa.array(p.row[each] + at)), pa.array((p.local()[each] + step).astype(np.int32)), pa.array(step.astype(np.int32))], ["a", "c", "g", "d", "at", "j"])
+                yield pa.RecordBatch.from_arrays([_array(p.anchor[each]), _array(p.edges[p.start[each] + step]), b.column("d").take(pa.array(p.row[each] + at)), pa.array((p.local()[each] + step).astype(np.int32))], ["a", "g", "d", "s"])
 
-    edges = texts.join(asked, "d").mapInArrow(emit_edges, "a long, c long, g long, d long, at int, j int")
+    edges = texts.join(asked, "d").mapInArrow(emit_edges, "a long, g long, d long, s int")
     # One row for each distinct path and edge: an edge's rows are at most its distinct neighbourhoods.
-    edge_source = edges.groupBy("a", "g").agg(F.min(F.struct("d", "at")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    later = edges.join(edge_source, ["a", "g"]).where(F.struct("d", "at") != F.col("first"))
-    later = later.groupBy("a", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("later"))
-
-    known = source.join(later, ["a", "c"], "left").where("times > 1 or later is not null")
-    marks = paths.join(known, ["a", "c"]).withColumn("mask", F.when(F.struct("d", "s") == F.col("src"), F.col("later")).otherwise(F.expr("shiftleft(1L, n) - 1"))).where("mask is not null")
-    marks = marks.groupBy("d").agg(F.collect_list(F.struct("s", "mask")).alias("marks"))
+    edge_source = edges.groupBy("a", "g").agg(F.min(F.struct("d", "s")).alias("src"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = edges.join(edge_source, ["a", "g"]).where(F.struct("d", "s") != F.col("src")).select("d", "s", F.lit(1).alias("n"))
+    marks = paths.join(source.where("times > 1").select("a", "c", "src"), ["a", "c"]).where(F.struct("d", "s") != F.col("src")).select("d", "s", "n")
+    marks = marks.unionByName(again).groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("marks"))
 
     def finish(batches):
         for b in batches:
@@ -206,13 +211,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 if len(flat):
                     row = np.repeat(np.arange(to - at), size)
                     first = np.asarray(flat.field("s")).astype(np.int64) + w.row_first[row]
-                    mask = np.asarray(flat.field("mask"))
-                    for j in range(window):
-                        k = first[(mask >> j) & 1 == 1] + j
-                        np.add.at(gone, k, 1)
-                        np.add.at(gone, k + window, -1)
-                stay = np.cumsum(gone[:-1]) == 0
+                    np.add.at(gone, first, 1)
+                    np.add.at(gone, first + np.asarray(flat.field("n")) + window - 1, -1)
                 counts = w.counts()
+                copy = np.asarray(b.column("copy").slice(at, to - at).is_valid()) & (counts >= window)
+                stay = (np.cumsum(gone[:-1]) == 0) & ~np.repeat(copy, counts)
                 n_words.append(counts)
                 lost = np.concatenate(([0], np.cumsum(~stay)))[w.row_first]
                 n_removed.append(np.diff(lost))
@@ -231,5 +234,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), cat(n_words), cat(n_removed), pa.array(spans, kind), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     last = docs.join(listed, "d", "left").join(marks, "d", "left")
-    last = last.select("doc_id" if "doc_id" in docs.columns else F.col("d").alias("doc_id"), "t", "anchors", "marks")
+    last = last.select("doc_id" if "doc_id" in docs.columns else F.col("d").alias("doc_id"), "t", "anchors", "copy", "marks")
     return last.mapInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
