@@ -90,6 +90,43 @@ WITH docs AS (
 )
 SELECT docs.doc_id, len(ws)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM docs LEFT JOIN sums ON sums.doc_id = docs.doc_id
+""",
+    "op4_chat_format": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')
+), o AS (
+  SELECT *, ceil(strlen(x) / 4)::bigint + 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS ord,
+    12 + length(replace(replace(replace(r, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + 1
+      + length(replace(replace(x, '&', '&amp;'), '<|', '&lt;|')) + 11 AS chars
+  FROM t
+), s AS (
+  SELECT conv_id AS sc, min(ord) AS s_ord, arg_min(tok, ord) AS s_tok, arg_min(chars, ord) AS s_chars FROM o WHERE r = 'system' GROUP BY conv_id
+), p AS (
+  SELECT o.*, s_ord, s_chars, tok > 128 AS long, greatest(128, 1024 - 128 - coalesce(s_tok, 0)) AS stride,
+    sum(CASE WHEN tok > 128 THEN 0 ELSE tok END) OVER w AS prefix,
+    2 * sum((tok > 128)::int) OVER w - (tok > 128)::int AS seg
+  FROM o LEFT JOIN s ON sc IS NOT DISTINCT FROM o.conv_id
+  WINDOW w AS (PARTITION BY o.conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING)
+), w AS (
+  SELECT *, CASE WHEN long THEN 0 ELSE (prefix - 1) // stride END AS span, coalesce(ord = s_ord, false) AS is_sys FROM p
+), items AS (
+  SELECT conv_id, seg, span, ord, chars, s_ord, s_chars, is_sys, 1 AS new FROM w
+  UNION ALL
+  SELECT conv_id, seg, span + 1, ord, chars, s_ord, s_chars, is_sys, 0 FROM w
+  WHERE NOT long AND NOT is_sys AND prefix - tok >= (span + 1) * stride - 128
+), windows AS (
+  SELECT conv_id, sum(chars) + CASE WHEN any_value(s_ord) IS NOT NULL AND NOT bool_or(is_sys) AND min(ord) > any_value(s_ord) THEN any_value(s_chars) ELSE 0 END AS chars
+  FROM items GROUP BY conv_id, seg, span HAVING max(new) = 1
+), f AS (
+  SELECT conv_id, sum(chars)::bigint AS formatted_chars FROM windows GROUP BY conv_id
+), d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY ord)) AS turns_sha256,
+    coalesce(string_agg(x, '' ORDER BY ord) FILTER (WHERE r = 'assistant'), '') AS loss
+  FROM o GROUP BY conv_id
+)
+SELECT d.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id
 """,
     "op5_url_filter": f"""
 WITH rest AS (

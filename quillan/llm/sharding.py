@@ -110,7 +110,7 @@ def kd_tree(units: DataFrame, dims: list[str], shards: int, bins: int = 512, fin
     return _walk(units, dims, splits, {}).drop("x")
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, dims: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", unit_share: int = 256, slots: int = 64) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, dims: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", unit_share: int = 256, lane_rows: int = 100_000) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot); dims: numeric columns of docs beside text length and checksum."""
     extra = [F.coalesce(F.col(d).cast("double"), F.lit(0.0)).alias(f"d{i}") for i, d in enumerate(dims or [])]
     text = F.col(text_col)
@@ -119,7 +119,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, dims: list[str] | None = N
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.hash(text)).alias("h"), *extra,
     ))
     names = ["len", "sum", *[f"d{i}" for i in range(len(extra))]]
-    total = thin.agg(F.sum("size")).first()[0] or 0
+    total, count = thin.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     heavy = thin.groupBy("h").agg(F.sum("size").alias("g")).where(F.col("g") > total / shards / unit_share).select("h", F.lit(True).alias("heavy"))
     rows = thin.join(F.broadcast(heavy), "h", "left").withColumn("unit", F.when(F.col("heavy"), F.xxhash64("h", "doc_id")).otherwise(F.col("h"))).drop("heavy")
     units = cut(
@@ -128,11 +128,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, dims: list[str] | None = N
         .withColumn("h", F.xxhash64("unit", F.lit("tie")).cast("double"))
     )
     placed = kd_tree(units, names, shards).select("unit", F.col("node").alias("shard"))
-    out = rows.join(placed, "unit").withColumn("lane", F.pmod(F.xxhash64("unit", "doc_id"), F.lit(slots)))
+    out = rows.join(placed, "unit").withColumn("lane", F.pmod(F.xxhash64("unit", "doc_id"), F.lit(max(64, count // shards // lane_rows))))
+    # Slots are counted inside lanes of a shard, about lane_rows rows each, which start where those before end.
     lanes = out.groupBy("shard", "lane").count()
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = lanes.select("shard", "lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("shard", "lane").orderBy("unit", "doc_id")
-    # lanes has shards x slots rows at most.
-    out = out.withColumn("n", F.row_number().over(own)).join(F.broadcast(lanes), ["shard", "lane"])
+    out = out.withColumn("n", F.row_number().over(own)).join(lanes, ["shard", "lane"])
     return out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("n") - 1).cast("long").alias("slot"))
