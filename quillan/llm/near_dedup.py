@@ -43,6 +43,14 @@ from .textkernel import constants, mix64, ngram_hashes, slices
 TREES, DEPTH, SKETCH = 24, 8, 128
 
 
+ROWS_PER_TASK = 50_000
+
+
+def few(thin: DataFrame, rows: int) -> DataFrame:
+    """A thin table of about that many rows in no more tasks than it needs; each exchange leaves files by task."""
+    return thin.coalesce(rows // ROWS_PER_TASK + 1)
+
+
 def shingle_sets(column: pa.Array, n: int):
     """(row, sorted distinct shingle hashes of all rows, first position of each row, words of each row) over slices."""
     for at, to, w in slices(column, lower=True):
@@ -233,9 +241,10 @@ def _neighbours(rows: DataFrame, leaf: int, reach: int, floor: int) -> DataFrame
     order = ["region", "deep", "doc_id"]
     found = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lambda it: scan(it, True), schema))
     # At most 2 * keep_back rows of each partition.
-    edges = found.where("u is null").select(*order, "label", "s1", "s2").distinct().repartition(n, "region").sortWithinPartitions(*order)
+    total = found.count()
+    edges = few(few(found.where("u is null"), total).select(*order, "label", "s1", "s2").distinct().repartition(n, "region"), total).sortWithinPartitions(*order)
     across = edges.mapInArrow(lambda it: scan(it, False), schema).select("u", "v")
-    return found.where("u is not null").select("u", "v").unionByName(across).distinct()
+    return few(few(found.where("u is not null"), total).select("u", "v").unionByName(across).distinct(), total)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,13 +276,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = check(now)
     while state[0]:
-        both = now.unionByName(flip(now))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        n = state[0]
+        both = few(now.unionByName(flip(now)), n)
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")), n).select("u", F.least("u", "m").alias("m"))
+        large = few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        small = few(large.join(least, "u"), n)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
+        now = cut(few(small, n))
         after = check(now)
         if after == state:
             break
@@ -281,6 +291,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
 
 
+#: a pair of sets weighs as much as so many thin rows
+PAIRS_IN_ONE = 50
+
+#: (trees, rows of a leaf, neighbours on either side) of each round
 ROUNDS = ((2, 1, 1), (8, 4, 2), (TREES, 8, 4))
 
 
@@ -305,19 +319,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         pairs = _neighbours(_rows(forest, labels, trees, least), leaf, reach, floor)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.count():
+        total = pairs.count()
+        if not total:
             continue
-        ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-        new = cut(_confirm(pairs, once(_sets(source, ends, shingle)), percent))
+        ends = cut(few(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), 2 * total))
+        new = cut(few(_confirm(pairs, once(_sets(source, ends, shingle)), percent), PAIRS_IN_ONE * total))
         if not new.count():
             continue
-        joined = new if joined is None else joined.unionByName(new)
+        # The stars found so far stand for all links before.
+        joined = new if joined is None else labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v")).unionByName(new)
         labels = components(joined)
         if not rounds:
             rounds.append(ROUNDS[-1])
     if not unique:  # an id with several sets ties their classes together
         links = same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        labels = components(links if joined is None else links.unionByName(joined))
+        labels = components(links.unionByName(labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v"))))
     found = same.select("doc_id", "n", F.col("rep" if unique else "doc_id").alias("at")).join(labels.select(F.col("doc_id").alias("at"), "label"), "at", "left")
     found = found.select("doc_id", "n", F.coalesce("label", "at").alias("component_id"))
     alone = summary.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
