@@ -11,17 +11,26 @@ documents whose sets have a Jaccard similarity of at least
    at most ``leaf`` rows share a prefix: all of those are compared.  Rows that
    stay in larger runs at full depth, or end up alone, are compared with their
    ``reach`` longest-common-prefix neighbours in the region on either side.
+   Those rounds only link early what is easily found: at the end every pair of
+   a region of more than ``leaf`` rows that is not linked yet is compared.
 3. Candidates whose 128-bit sketch rules out the similarity (six standard
    deviations) are dropped; the rest is confirmed on full sets, and confirmed
    links are merged into components with star contractions.
 4. Rounds: two trees with adjacent neighbours first, then more trees, then
    all; pairs inside one component or already tested are not tested again, so
-   a large group of copies costs about one test a document and a round.  The
-   last kind of round is repeated until no link is found.
+   a large group of copies costs about one test a document and a round.
+5. The rest: each region of more than ``leaf`` rows in several components is
+   cut into blocks of about ``BLOCK`` rows, and all pairs of blocks are
+   compared, so that every pair of the region in two components is.  Rows of
+   the region's largest component meet only the rows outside it.  A pair is
+   taken in the first tree where it shares a region; the minhash digits rule
+   it out as the sketch does.  A family whose members resemble each other just
+   below the limit costs as many tests as it has pairs.
 
 A pair at the limit similarity is missed by all trees with a probability of
-``(1 - s ** least) ** trees`` (2e-8 at 0.85).  No group is held by one task:
-trees are range-partitioned by signature and read as streams.
+``(1 - s ** least) ** trees`` (2e-8 at 0.85), whatever the size of its regions.
+No group is held by one task: trees are range-partitioned by signature and
+read as streams, and regions are compared by pairs of blocks.
 
 Cases: null, empty and wordless texts have an empty set and are linked with
 nothing; fewer words than the shingle length make one shingle; repeated rows
@@ -247,6 +256,54 @@ def _neighbours(rows: DataFrame, leaf: int, reach: int, floor: int) -> DataFrame
     return few(few(found.where("u is not null"), total).select("u", "v").unionByName(across).distinct(), total)
 
 
+def _rest(forest: DataFrame, labels: DataFrame, least: int, leaf: int, floor: int, digit_floor: int) -> DataFrame:
+    """(u, v): all candidate pairs, u < v, of different labels in regions of more than ``leaf`` rows."""
+    labelled = forest.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    region = F.expr(f"xxhash64(tree, substring(sig, tree * {DEPTH * 2} + 1, {least * 2}))")
+    thin = labelled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select(region.alias("region"), "tree", "doc_id", "label")
+    sizes = thin.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    # Blocks of rows of the largest component, and of the others.
+    wide = cut(sizes.where((F.col("n") > leaf) & (F.col("labels") > 1)).select("region", "major", F.ceil(F.col("most") / BLOCK).alias("mine"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("others")))
+    rows = thin.join(wide, "region").join(forest, "doc_id").where(region == F.col("region"))
+    outside = F.col("label") != F.col("major")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(outside, F.col("others")).otherwise(F.col("mine")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    seat = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    inner = F.transform(upto(F.col("others")), lambda k: seat(1, F.least("own", k), F.greatest("own", k), F.col("own") > k))
+    cross = F.transform(upto(F.col("mine")), lambda k: seat(0, F.col("own"), k, F.lit(0)))
+    seats = F.when(outside, F.concat(inner, cross)).otherwise(F.transform(upto(F.col("others")), lambda k: seat(0, k, F.col("own"), F.lit(1))))
+    rows = rows.withColumn("own", own).withColumn("seat", F.explode(seats)).select("region", "seat.*", "tree", "doc_id", "label", "sig")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, label, side = (np.asarray(cell[c].combine_chunks()) for c in ("doc_id", "label", "side"))
+        raw = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        digits = raw[:, : TREES * DEPTH * 2].copy().view("<u2")
+        sketch = raw[:, TREES * DEPTH * 2 :].copy().view(np.uint64)
+        alone = cell["kind"][0].as_py() == 1 and cell["i"][0].as_py() == cell["j"][0].as_py()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(left), 256):
+            a = left[at : at + 256]
+            alike = SKETCH - np.bitwise_count(sketch[a, None] ^ sketch[None, right]).sum(2, dtype=np.int64)
+            keep = (alike >= floor) & (label[a, None] != label[None, right]) & (ids[a, None] != ids[None, right])
+            if alone:
+                keep &= a[:, None] < right[None]
+            x, y = np.nonzero(keep)
+            x, y = a[x], right[y]
+            for k in range(0, len(x), 8192):
+                p, q = x[k : k + 8192], y[k : k + 8192]
+                same = digits[p] == digits[q]
+                first = same.reshape(-1, TREES, DEPTH)[:, :, :least].all(2).argmax(1)
+                ok = (same.sum(1) >= digit_floor) & (first == cell["tree"][0].as_py())
+                us.append(ids[p[ok]])
+                vs.append(ids[q[ok]])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return rows.groupBy("region", "kind", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
 
@@ -294,10 +351,18 @@ def components(edges: DataFrame) -> DataFrame:
 #: a pair of sets weighs as much as so many thin rows
 PAIRS_IN_ONE = 50
 
+#: rows of a block of a large region
+BLOCK = 2048
+
 #: (trees, rows of a leaf, neighbours on either side) of each round
 ROUNDS = ((2, 1, 1), (8, 4, 2), (TREES, 8, 4))
 
 
+def least_matches(share: float, of: int) -> int:
+    """Of so many independent matches with that probability, the number that six standard deviations leave."""
+    return int(np.floor(of * (share - 6 * np.sqrt(share * (1 - share) / of))))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, least: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
@@ -310,13 +375,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     unique = rows == ids
     once = (lambda df: df) if unique else (lambda df: df.distinct())
     forest = cut(once(_signed(source, same.select(F.col("rep").alias("doc_id")).distinct(), shingle)))
-    share = (1 + percent / 100) / 2
-    floor = int(np.floor(SKETCH * (share - 6 * np.sqrt(share * (1 - share) / SKETCH))))
+    floor, digit_floor = least_matches((1 + percent / 100) / 2, SKETCH), least_matches(percent / 100, TREES * DEPTH)
     labels = spark.createDataFrame([], "doc_id long, label long")
-    joined, tested, rounds = None, None, list(ROUNDS)
-    while rounds:
-        trees, leaf, reach = rounds.pop(0)
-        pairs = _neighbours(_rows(forest, labels, trees, least), leaf, reach, floor)
+    joined, tested = None, None
+    for trees, leaf, reach in (*ROUNDS, (None, ROUNDS[-1][1], None)):
+        if trees is None:
+            pairs = _rest(forest, labels, least, leaf, floor, digit_floor)
+        else:
+            pairs = _neighbours(_rows(forest, labels, trees, least), leaf, reach, floor)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         total = pairs.count()
@@ -329,8 +395,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         # The stars found so far stand for all links before.
         joined = new if joined is None else labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v")).unionByName(new)
         labels = components(joined)
-        if not rounds:
-            rounds.append(ROUNDS[-1])
     if not unique:  # an id with several sets ties their classes together
         links = same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
         labels = components(links.unionByName(labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v"))))

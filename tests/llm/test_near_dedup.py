@@ -68,6 +68,21 @@ def test_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+def test_pairs_in_a_family_just_below_the_limit(spark, monkeypatch):
+    """Members resemble each other at 0.849, single pairs at 0.8503; the blocks of a region are compared with each other too."""
+    rnd = random.Random(5)
+    word = lambda: "w" + str(rnd.randrange(10**9))
+    stock, rows = [word() for _ in range(1003)], []
+    for pair in range(100):
+        both = [word()]
+        rows += [(pair + 100 * k, " ".join(stock + both + [word() for _ in range(88)])) for k in range(2)]
+    want = {i: (1088, i % 100) for i, _ in rows}
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA).repartition(4)
+    for block in (near_dedup.BLOCK, 40):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(df).collect()} == want
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (3, "x y z"), (3, "a b c d e f g"), (4, "x y z")]
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA)
