@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased (A-Z) runs between whitespace and ASCII punctuation.
 Every run of ``seed`` words of a test item is a seed (an item with fewer
-words is one seed as a whole).  One pass over the corpus counts the documents
-that hold each seed; a seed is rare unless it is in more than ``floor``
-documents and in over ``times`` as many as the median seed of its item, so an
-item that leaked many times keeps its seeds and a stock phrase goes.
+words is one seed as a whole).  No seed is dropped for being frequent, so an
+edited or partial copy is found however often it occurs.
 
-A second pass joins passages to items on rare seeds (a hash join whose build
-side is the benchmark) and aligns the passage around each seed with the item
-(match 2, mismatch -1, gap -1).  The score is the alignment's share of the
-item's own score, and pairs at ``threshold`` or more are contaminated.
+One pass joins passages to items on seeds (a hash join whose build side is
+the benchmark) and aligns the passage around each seed with the item (match 2,
+mismatch -1, gap -1).  The score is the alignment's share of the item's own
+score, and pairs at ``threshold`` or more are contaminated.  An alignment
+scores at most ``MATCH`` for each word of the item that the passage holds, so
+passages with too few of them, as around stock phrases, are not aligned.
 
 The build side is broadcast in blocks of items of at most ``block_words``
 words, one pass for each block, so its size has a fixed bound; the corpus
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import HashSet, Words, ngram_hashes, run_starts, slices
+from .textkernel import HashSet, Words, mix64, ngram_hashes, run_starts, slices
 
 MATCH, MISS, GAP = 2, -1, -1
 
@@ -80,9 +80,6 @@ class Index:
         order = np.argsort(cols[0], kind="stable")
         self.hash, self.length, self.item, self.at = (c[order] for c in cols)
 
-    def restrict(self, keep: np.ndarray) -> None:
-        self.hash, self.length, self.item, self.at = (c[keep] for c in (self.hash, self.length, self.item, self.at))
-
     def sets(self) -> dict[int, HashSet]:
         return {int(n): HashSet(self.hash[self.length == n]) for n in np.unique(self.length)}
 
@@ -98,34 +95,11 @@ def _seed_hits(words: Words, h: np.ndarray, sets: dict[int, HashSet]):
         yield known.values[which[ok]], rows[at[ok]], at[ok]
 
 
-def count_seeds(docs: DataFrame, text_col: str, index: Index) -> dict[int, int]:
-    """Documents that hold each seed; at most as many entries as seeds."""
-    shared = docs.sparkSession.sparkContext.broadcast(index.sets())
-
-    def run(batches):
-        sets = shared.value
-        for b in batches:
-            keys = [np.zeros(0, np.uint64)]
-            for _, _, w in slices(b.column("t"), lower=True, punct=True):
-                for seed, row, _ in _seed_hits(w, w.hashes(), sets):
-                    pair = np.unique(np.stack([seed, row.astype(np.uint64)], 1), axis=0)
-                    keys.append(pair[:, 0])
-            seed, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], ["seed", "n"])
-
-    got = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect()
-    return {int(np.int64(s).view(np.uint64)): n for s, n in got}
-
-
-def build(docs: DataFrame, ids: pa.Array, texts: pa.Array, text_col: str, seed: int, times: float, floor: int) -> Index:
-    index = Index(ids, texts, seed)
-    seen = count_seeds(docs, text_col, index)
-    df = np.array([seen.get(int(h), 0) for h in index.hash])
-    middle = np.zeros(len(index.size))
-    for i in np.unique(index.item):
-        middle[i] = np.median(df[index.item == i])
-    index.restrict((df <= floor) | (df <= times * middle[index.item]))
-    return index
+def possible(passages: np.ndarray, items: np.ndarray, lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """Mask of the pairs whose passage holds enough of the item's words to score ``threshold``."""
+    pair = mix64(np.arange(1, len(items) + 1, dtype=np.uint64))[:, None]
+    shared = np.isin(mix64(items ^ pair), mix64(passages ^ pair)) & (np.arange(items.shape[1]) < lengths[:, None])
+    return MATCH * shared.sum(1) / (MATCH * lengths) >= threshold
 
 
 def find(words: Words, index: Index, sets: dict[int, HashSet], threshold: float, batch: int = 512):
@@ -154,8 +128,11 @@ def find(words: Words, index: Index, sets: dict[int, HashSet], threshold: float,
         passages = np.where(inside, h[np.minimum(first[k][:, None] + span, len(h) - 1)], np.uint64(0))
         depth = np.arange(index.size[item[k]].max())
         items = index.words[np.minimum(index.first[item[k]][:, None] + depth, len(index.words) - 1)]
-        best, end[k] = align(passages, items, index.size[item[k]])
-        score[k] = best / (MATCH * index.size[item[k]])
+        able = possible(passages, items, index.size[item[k]], threshold)
+        k = k[able]
+        if len(k):
+            best, end[k] = align(passages[able], items[able], index.size[item[k]])
+            score[k] = best / (MATCH * index.size[item[k]])
     keep = np.flatnonzero(score >= threshold)
     keep = keep[np.lexsort((lane[keep], -score[keep], item[keep], row[keep]))]
     pair = np.stack([row[keep], item[keep]], 1)
@@ -176,12 +153,15 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = 4, threshold: float = 0.5, times: float = 8, floor: int = 100, block_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, score, word_start, word_end): contaminated pairs; the words bound the aligned passage."""
+    """(doc_id, item_id, score, word_start, word_end): contaminated pairs; the words bound the aligned passage.
+
+    ``times`` and ``floor`` once set which frequent seeds were dropped; none is now.
+    """
     schema = "doc_id long, item_id long, score double, word_start long, word_end long"
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     out = None
     for ids, texts in _blocks(items, item_col, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(build(docs, ids, texts, text_col, seed, times, floor))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, seed))
 
         def run(batches, shared=shared):
             index, sets = shared.value, shared.value.sets()
@@ -200,7 +180,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
     """The rows of docs that match no test item, with all their columns."""
     out = docs
     for ids, texts in _blocks(items, item_col, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(build(docs, ids, texts, text_col, seed, times, floor))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, seed))
 
         def run(batches, shared=shared):
             index, sets = shared.value, shared.value.sets()

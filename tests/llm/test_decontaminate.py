@@ -74,6 +74,18 @@ def test_hot_leak_keeps_its_seeds(spark):
     assert got >= {i for i, _, _ in many}
 
 
+def test_edited_copy_in_several_hundred_documents(spark):
+    """The copy keeps under half of the item's seeds, each in 400 documents."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    item, other = ([word() for _ in range(38)] for _ in range(2))
+    copies = [[word() if k % 6 == 5 else w for k, w in enumerate(item)], other[:20]]
+    rows = [(i, f"start{i} " + " ".join(copies[i % 2]) + f" end{i}", None) for i in range(800)] + [(900 + i, " ".join(item[:9]) + f" stock{i}", None) for i in range(400)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(0, " ".join(item), 0), (1, " ".join(other), 0)], ITEMS)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()) == [(i, i % 2) for i in range(800)]
+    assert decontaminate.clean(docs, bench).count() == 400
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e", 1)], DOCS), spark.createDataFrame([(1, "a b c d e", 1)], ITEMS)
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == 1
