@@ -2,14 +2,15 @@
 
 Base spans are found by pattern (email, ip, card, phone), leftmost and not
 overlapping within a kind.  Every value found is a protected entity.  The
-corpus tells how strongly a term reveals one: with ``n_et`` distinct contexts
-of entity e that hold term t (``reach`` words on either side), ``n_e``
-contexts of e, ``df_t`` documents with t and N documents,
+corpus tells how strongly a term reveals one: with ``n_et`` distinct texts
+that hold term t in a context of entity e (``reach`` words on either side),
+``n_e`` distinct texts with e, ``df_t`` distinct texts with t and N distinct
+texts,
 
     P(e | t) = n_et / df_t      gain = log2(n_et * N / (n_e * df_t)).
 
-A term is disclosing for e when n_et >= ``support``, P(e | t) >= ``share`` and
-gain >= ``bits``; it is then a span of kind ``term`` in documents that name e.
+A term is disclosing for e when at least ``support`` distinct contexts of e hold
+it, P(e | t) >= ``share`` and gain >= ``bits``; it is then a span of kind ``term`` in documents that name e.
 Contexts are counted once however often they are copied, so copies disclose
 nothing by themselves.  Documents without a base span are left alone.
 
@@ -120,27 +121,32 @@ def _rows(column: pa.Array):
                 yield i, text, spans
 
 
+def text_key(text_col: str):
+    return F.xxhash64(text_col, F.hash(text_col))
+
+
 def mentions(docs: DataFrame, text_col: str, reach: int) -> DataFrame:
-    """(e, ctx, terms): each mention of an entity with the terms around it."""
+    """(e, x, ctx, terms): each mention of an entity in text x with the terms around it."""
 
     def run(batches):
         for b in batches:
-            e, ctx, terms = [], [], []
-            for _, text, spans in _rows(b.column("t")):
+            e, x, ctx, terms = [], [], [], []
+            for i, text, spans in _rows(b.column("t")):
                 words = _Terms(text, spans)
                 for kind, s, t in spans:
                     near = words.near(s, t, reach)
                     e.append(entity(kind, text[s:t]))
+                    x.append(b.column("x")[i].as_py())
                     with np.errstate(over="ignore"):
                         ctx.append(mix64(near).sum(dtype=np.uint64).view(np.int64))
                     terms.append(near.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(ctx, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["e", "ctx", "terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(x, pa.int64()), pa.array(ctx, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["e", "x", "ctx", "terms"])
 
-    return docs.select(F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "e long, ctx long, terms array<long>")
+    return docs.select(F.col(text_col).alias("t"), text_key(text_col).alias("x")).where("t is not null").mapInArrow(run, "e long, x long, ctx long, terms array<long>")
 
 
 def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(t, df): in how many documents each of the terms is."""
+    """(t, df): in how many distinct texts each of the terms is; each of n copies of a text counts 1/n."""
     few = terms.limit(broadcast_rows + 1).toArrow()
     known = None
     if few.num_rows <= broadcast_rows:
@@ -148,31 +154,40 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, broadcast_rows
 
     def run(batches):
         for b in batches:
-            found = [np.zeros(0, np.uint64)]
-            for _, _, w in slices(b.column("t"), lower=True, punct=True):
+            found, share = [np.zeros(0, np.uint64)], [np.zeros(0)]
+            weight = 1 / np.asarray(b.column("n"))
+            for start, _, w in slices(b.column("t"), lower=True, punct=True):
                 h, rows = w.hashes(), w.rows()
                 if known is not None:
                     at, _ = known.value.find(h)
                     h, rows = h[at], rows[at]
                 order = np.lexsort((h, rows))
                 h, rows = h[order], rows[order]
-                found.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])))] if len(h) else h)
-            t, n = np.unique(np.concatenate(found), return_counts=True)
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))) if len(h) else np.zeros(0, bool)
+                found.append(h[new])
+                share.append(weight[start + rows[new]])
+            t, at = np.unique(np.concatenate(found), return_inverse=True)
+            n = np.bincount(at, np.concatenate(share), len(t))
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["t", "n"])
 
     if known is not None and not len(known.value.values):
         return terms.select("t", F.lit(0).cast("long").alias("df")).limit(0)
-    counts = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
+    texts = docs.select(F.col(text_col).alias("t"), text_key(text_col).alias("x")).where("t is not null")
+    copies = texts.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    weighed = texts.join(copies, "x", "left").select("t", F.coalesce("n", F.lit(1)).alias("n"))
+    # Sums of 1/n are whole but for rounding.
+    counts = weighed.mapInArrow(run, "t long, n double").groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("df"))
     return counts if known is not None else counts.join(terms, "t")
 
 
 def disclosing(docs: DataFrame, text_col: str = "text", reach: int = 8, support: int = 5, share: float = 0.5, bits: float = 6.0, broadcast_rows: int = 1 << 20) -> DataFrame:
     """(e, t): the terms that reveal a protected entity."""
     seen = mentions(docs, text_col, reach)
-    pairs = seen.select("e", "ctx", F.explode("terms").alias("t")).distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    total = docs.count()
+    near = seen.select("e", "x", "ctx", F.explode("terms").alias("t")).groupBy("e", "t")
+    pairs = near.agg(F.count_distinct("ctx").alias("contexts"), F.count_distinct("x").alias("n_et")).where(F.col("contexts") >= support)
+    total = docs.select(text_key(text_col).alias("x")).distinct().count()
     counts = term_counts(docs, text_col, pairs.select("t").distinct(), broadcast_rows)
-    sizes = seen.select("e", "ctx").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    sizes = seen.select("e", "x").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     gain = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("df")))
     return pairs.join(counts, "t").join(sizes, "e").where((F.col("n_et") >= share * F.col("df")) & (gain >= bits)).select("e", "t")
 
@@ -201,7 +216,7 @@ def _judge(docs: DataFrame, text_col: str, schema, emit, settings: dict) -> Data
         source = docs
     else:
         shared = None
-        key = F.xxhash64(text_col, F.hash(text_col))
+        key = text_key(text_col)
 
         def named(batches):
             for b in batches:

@@ -55,6 +55,14 @@ def test_rows_and_disclosing_terms(spark):
     assert sorted(map(str, pii.find(df, broadcast_rows=0).collect())) == sorted(map(str, got))
 
 
+def test_disclosing_term_in_a_document_with_many_copies(spark):
+    rows = [(i, f"note {i} mail jo@x.org about Zeppelin plan{i} the end", None) for i in range(10)]
+    rows += [(100 + i, rows[0][1], None) for i in range(1000)] + [(2000 + i, f"the plain note of number{i} is at an end", None) for i in range(900)]
+    got = pii.find(spark.createDataFrame(rows, SCHEMA).repartition(4)).where("doc_id < 2000")
+    at = rows[0][1].index("Zeppelin")
+    assert got.where(f"spans like '%term:{at}:{at + 8}%'").count() == 1010
+
+
 def test_redact_keeps_columns_and_removes_values(spark):
     _, df = docs(spark)
     for limit in (1 << 20, 0):
