@@ -10,9 +10,12 @@ texts,
     P(e | t) = n_et / df_t      gain = log2(n_et * N / (n_e * df_t)).
 
 A term is disclosing for e when at least ``support`` distinct contexts of e hold
-it, P(e | t) >= ``share`` and gain >= ``bits``; it is then a span of kind ``term`` in documents that name e.
+it, P(e | t) >= ``share`` and gain >= ``bits``; it is then a span of kind ``term`` in documents that name e,
+and with ``everywhere``, as the registered query and the pipeline have it, in
+every document.
 Contexts are counted once however often they are copied, so copies disclose
-nothing by themselves.  Documents without a base span are left alone.
+nothing by themselves.  Without ``everywhere``, documents that have no base span
+are left alone.
 
 Both lists that go to the executors, candidate terms and disclosing pairs,
 are broadcast only up to ``broadcast_rows`` rows; beyond that the same results
@@ -202,10 +205,62 @@ def _spans(text: str, spans: list, reveals: dict[int, np.ndarray]) -> list[tuple
     return spans + [(4, int(words.start[i]), int(words.end[i])) for i in at]
 
 
+def _every(text: str, spans: list, terms: HashSet) -> list[tuple[int, int, int]]:
+    """Base spans with all disclosing terms of the text."""
+    words = _Terms(text, spans)
+    at, _ = terms.find(words.hash)
+    return spans + [(4, int(words.start[i]), int(words.end[i])) for i in at if words.free[i]]
+
+
+def _judge_every(docs: DataFrame, text_col: str, schema, emit, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """As ``_judge``, with the disclosing terms of all entities in every text."""
+    terms = pairs.select("t").distinct()
+    few = terms.limit(broadcast_rows + 1).toArrow()
+    shared, source = None, docs
+    if few.num_rows <= broadcast_rows:
+        own = np.asarray(few["t"].combine_chunks()) if few.num_rows else np.zeros(0, np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast(HashSet(own.view(np.uint64)))
+    else:
+
+        def words(batches):
+            for b in batches:
+                for at, _, w in slices(b.column("t"), lower=True, punct=True):
+                    key = np.asarray(b.column("k"))[at + w.rows()]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(w.hashes().view(np.int64))], ["__k", "t"])
+
+        key = text_key(text_col)
+        held = docs.select(key.alias("k"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(words, "__k long, t long").distinct()
+        held = held.join(terms, "t").groupBy("__k").agg(F.collect_list("t").alias("__terms"))
+        source = docs.withColumn("__k", key).join(held, "__k", "left").drop("__k")
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(text_col)
+            found = {i: (spans, spans) for i, _, spans in _rows(texts)}
+            if shared is not None:
+                hit = [at + w.rows()[shared.value.find(w.hashes())[0]] for at, _, w in slices(texts, lower=True, punct=True)]
+                rows = np.unique(np.concatenate(hit)).tolist() if hit else []
+            else:
+                own = b.column("__terms")
+                rows = [i for i in range(b.num_rows) if own[i].is_valid]
+            for i in rows:
+                spans = found[i][0] if i in found else []
+                known = shared.value if shared is not None else HashSet(np.array(own[i].as_py(), np.int64).view(np.uint64))
+                every = _every(texts[i].as_py(), spans, known)
+                if every:
+                    found[i] = (spans, every)
+            yield emit(b, found)
+
+    return source.mapInArrow(run, schema)
+
+
 def _judge(docs: DataFrame, text_col: str, schema, emit, settings: dict) -> DataFrame:
     """mapInArrow over docs with emit(batch, {row: (base spans, all spans)})."""
     broadcast_rows = settings.get("broadcast_rows", 1 << 20)
+    everywhere = settings.pop("everywhere", False)
     pairs = disclosing(docs, text_col, **settings)
+    if everywhere:
+        return _judge_every(docs, text_col, schema, emit, pairs, broadcast_rows)
     few = pairs.limit(broadcast_rows + 1).toArrow()
     if few.num_rows <= broadcast_rows:
         e, t = (np.asarray(few[c].combine_chunks()) if few.num_rows else np.zeros(0, np.int64) for c in ("e", "t"))

@@ -18,7 +18,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,19 @@ def test_disclosing_term_in_a_document_with_many_copies(spark):
     assert got.where(f"spans like '%term:{at}:{at + 8}%'").count() == 1010
 
 
+def test_disclosing_terms_in_every_text(spark, tmp_path):
+    from quillan.llm import queries, stages
+
+    rows, df = docs(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_pii(spark, str(tmp_path))
+    named = {r["doc_id"]: r["spans"] for r in got.collect() if "term:" in r["spans"]}
+    assert named[1003] == "term:0:8" and set(named) == {*range(8), None, 1003}
+    assert sorted(map(str, pii.find(df, everywhere=True, broadcast_rows=0).collect())) == sorted(map(str, got.collect()))
+    texts = {r["doc_id"]: r["text"] for r in stages.personal_data(spark, df, str(tmp_path)).collect()}
+    assert texts[1003] == "[TERM] alone" and texts[None] == "call [PHONE] [TERM]"
+
+
 def test_redact_keeps_columns_and_removes_values(spark):
     _, df = docs(spark)
     for limit in (1 << 20, 0):
