@@ -20,12 +20,14 @@ documents whose sets have a Jaccard similarity of at least
    all; pairs inside one component or already tested are not tested again, so
    a large group of copies costs about one test a document and a round.
 5. The rest: each region of more than ``leaf`` rows in several components is
-   cut into blocks of about ``BLOCK`` rows, and all pairs of blocks are
-   compared, so that every pair of the region in two components is.  Rows of
-   the region's largest component meet only the rows outside it.  A pair is
-   taken in the first tree where it shares a region; the minhash digits rule
-   it out as the sketch does.  A family whose members resemble each other just
-   below the limit costs as many tests as it has pairs.
+   cut into blocks of at most about ``BLOCK`` rows and ``BLOCK_SHINGLES``
+   shingles, and pairs of blocks are compared, so that every pair of the region
+   in two components is.  Rows of the region's largest component meet only the
+   rows outside it.  A pair is taken in the first tree where it shares a region.
+   Digits and sketch rule pairs out, and so do shingles that no other row of
+   these regions has: a link needs ``percent/(100 + percent)`` of both sizes in
+   common.  What is left is confirmed where the blocks meet, on full sets, and
+   only links that join two components are written; pairs are not.
 
 A pair at the limit similarity is missed by all trees with a probability of
 ``(1 - s ** least) ** trees`` (2e-8 at 0.85), whatever the size of its regions.
@@ -43,6 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,10 +134,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, bits: int = 1 << 26)
     n = wanted.count()
     size = 1 << min(bits.bit_length() - 1, max(10, (16 * n).bit_length()))
     slots = wanted.select(F.expr(f"xxhash64(doc_id) & {size - 1}L").alias("b")).distinct()
-    words = slots.groupBy(F.expr("b >> 6").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
+    words = slots.groupBy(F.expr("b >> 6").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
     table = np.zeros(max(1, size >> 6), dtype=np.int64)
-    for r in words:
-        table[r["w"]] = r["v"]
+    table[np.asarray(words["w"].combine_chunks())] = np.asarray(words["v"].combine_chunks())
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -256,52 +258,136 @@ def _neighbours(rows: DataFrame, leaf: int, reach: int, floor: int) -> DataFrame
     return few(few(found.where("u is not null"), total).select("u", "v").unionByName(across).distinct(), total)
 
 
-def _rest(forest: DataFrame, labels: DataFrame, least: int, leaf: int, floor: int, digit_floor: int) -> DataFrame:
-    """(u, v): all candidate pairs, u < v, of different labels in regions of more than ``leaf`` rows."""
-    labelled = forest.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    region = F.expr(f"xxhash64(tree, substring(sig, tree * {DEPTH * 2} + 1, {least * 2}))")
-    thin = labelled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select(region.alias("region"), "tree", "doc_id", "label")
-    sizes = thin.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region")
-    sizes = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-    # Blocks of rows of the largest component, and of the others.
-    wide = cut(sizes.where((F.col("n") > leaf) & (F.col("labels") > 1)).select("region", "major", F.ceil(F.col("most") / BLOCK).alias("mine"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("others")))
-    rows = thin.join(wide, "region").join(forest, "doc_id").where(region == F.col("region"))
-    outside = F.col("label") != F.col("major")
-    own = F.pmod(F.xxhash64("doc_id"), F.when(outside, F.col("others")).otherwise(F.col("mine")))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    seat = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    inner = F.transform(upto(F.col("others")), lambda k: seat(1, F.least("own", k), F.greatest("own", k), F.col("own") > k))
-    cross = F.transform(upto(F.col("mine")), lambda k: seat(0, F.col("own"), k, F.lit(0)))
-    seats = F.when(outside, F.concat(inner, cross)).otherwise(F.transform(upto(F.col("others")), lambda k: seat(0, k, F.col("own"), F.lit(1))))
-    rows = rows.withColumn("own", own).withColumn("seat", F.explode(seats)).select("region", "seat.*", "tree", "doc_id", "label", "sig")
-
-    def compare(cell: pa.Table) -> pa.Table:
-        ids, label, side = (np.asarray(cell[c].combine_chunks()) for c in ("doc_id", "label", "side"))
-        raw = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        digits = raw[:, : TREES * DEPTH * 2].copy().view("<u2")
-        sketch = raw[:, TREES * DEPTH * 2 :].copy().view(np.uint64)
-        alone = cell["kind"][0].as_py() == 1 and cell["i"][0].as_py() == cell["j"][0].as_py()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _wide(rows: DataFrame, least_rows: int) -> DataFrame:
+    """(region, major, mine, others): regions of at least that many rows in several components, with the numbers of blocks."""
+    parts = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    sizes = parts.groupBy("region").agg(
+        F.sum("c").alias("rows"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("labels"),
+        F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("top"),
+    )
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES))
+    mine, others = blocks(F.col("top.c"), F.col("top.s")), blocks(F.col("rows") - F.col("top.c"), F.col("all") - F.col("top.s"))
+    return sizes.where((F.col("rows") >= least_rows) & (F.col("labels") > 1)).select("region", F.col("top.label").alias("major"), mine.alias("mine"), others.alias("others"))
+
+
+def _own(sets: DataFrame) -> DataFrame:
+    """(doc_id, own): how many of a set's shingles are in no other of the sets."""
+
+    def run(batches):
+        for b in batches:
+            size = np.asarray(pc.binary_length(b.column("set"))).astype(np.int64) // 8
+            flat = np.frombuffer(b"".join(b.column("set").to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.asarray(b.column("doc_id")), size))], ["h", "doc_id"])
+
+    single = sets.select("doc_id", "set").mapInArrow(run, "h long, doc_id long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
+    return single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
+class _Cell:
+    """Two blocks of a region (or one with itself): which pairs of rows may be similar enough."""
+
+    def __init__(self, cell: pa.Table, least: int, percent: int, floor: int, digit_floor: int):
+        get = lambda c: np.asarray(cell[c].combine_chunks())
+        self.ids, self.label, self.side, self.n, self.shared = (get(c) for c in ("doc_id", "label", "side", "n", "shared"))
+        raw = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.digits = raw[:, : TREES * DEPTH * 2].copy().view("<u2")
+        self.sketch = raw[:, TREES * DEPTH * 2 :].copy().view(np.uint64)
+        self.tree = cell["tree"][0].as_py()
+        self.alone = cell["kind"][0].as_py() == 1 and cell["i"][0].as_py() == cell["j"][0].as_py()
+        self.least, self.percent, self.floor, self.digit_floor = least, percent, floor, digit_floor
+
+    def pairs(self):
+        """(row, row, equal digits) in parts."""
+        left, right = np.flatnonzero(self.side == 0), np.flatnonzero(self.side == (0 if self.alone else 1))
         for at in range(0, len(left), 256):
             a = left[at : at + 256]
-            alike = SKETCH - np.bitwise_count(sketch[a, None] ^ sketch[None, right]).sum(2, dtype=np.int64)
-            keep = (alike >= floor) & (label[a, None] != label[None, right]) & (ids[a, None] != ids[None, right])
-            if alone:
+            alike = SKETCH - np.bitwise_count(self.sketch[a, None] ^ self.sketch[None, right]).sum(2, dtype=np.int64)
+            # A link needs percent / (100 + percent) of both sizes in common, and only shared shingles can be.
+            both = self.percent * (self.n[a, None] + self.n[None, right])
+            keep = (alike >= self.floor) & ((100 + self.percent) * np.minimum(self.shared[a, None], self.shared[None, right]) >= both)
+            keep &= (self.label[a, None] != self.label[None, right]) & (self.ids[a, None] != self.ids[None, right])
+            if self.alone:
                 keep &= a[:, None] < right[None]
             x, y = np.nonzero(keep)
             x, y = a[x], right[y]
             for k in range(0, len(x), 8192):
                 p, q = x[k : k + 8192], y[k : k + 8192]
-                same = digits[p] == digits[q]
-                first = same.reshape(-1, TREES, DEPTH)[:, :, :least].all(2).argmax(1)
-                ok = (same.sum(1) >= digit_floor) & (first == cell["tree"][0].as_py())
-                us.append(ids[p[ok]])
-                vs.append(ids[q[ok]])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+                same = self.digits[p] == self.digits[q]
+                first = same.reshape(-1, TREES, DEPTH)[:, :, : self.least].all(2).argmax(1)
+                total = same.sum(1)
+                ok = (total >= self.digit_floor) & (first == self.tree)
+                yield p[ok], q[ok], total[ok]
+
 
-    return rows.groupBy("region", "kind", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _rest(forest: DataFrame, labels: DataFrame, sets_of, least: int, leaf: int, percent: int, unique: bool) -> DataFrame:
+    """(u, v): confirmed links between the components of each region of more than ``leaf`` rows.
+
+    ``sets_of`` gives the sets of a table of ids.
+    """
+    limits = (least, percent, least_matches((1 + percent / 100) / 2, SKETCH), least_matches(percent / 100, TREES * DEPTH))
+    labelled = forest.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    region = F.expr(f"xxhash64(tree, substring(sig, tree * {DEPTH * 2} + 1, {least * 2}))")
+    thin = labelled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select(region.alias("region"), "tree", "doc_id", "label", "n")
+    inside = cut(thin.join(cut(_wide(thin, leaf + 1).select("region")), "region"))
+    sets = cut(sets_of(inside.select("doc_id").distinct()))
+    # An id with several sets has no count of its own for each of them.
+    own = _own(sets) if unique else sets.select("doc_id", F.lit(0).cast("long").alias("own")).limit(0)
+    rows = inside.join(own, "doc_id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    # A set with fewer shared shingles than a link needs has no partner.
+    rows = cut(rows.where(100 * F.col("shared") >= percent * F.col("n")).drop("own"))
+    rows = rows.join(cut(_wide(rows, 2)), "region")
+    outside = F.col("label") != F.col("major")
+    block = F.pmod(F.xxhash64("doc_id"), F.when(outside, F.col("others")).otherwise(F.col("mine")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    seat = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    inner = F.transform(upto(F.col("others")), lambda k: seat(1, F.least("block", k), F.greatest("block", k), F.col("block") > k))
+    cross = F.transform(upto(F.col("mine")), lambda k: seat(0, F.col("block"), k, F.lit(0)))
+    seats = F.when(outside, F.concat(inner, cross)).otherwise(F.transform(upto(F.col("others")), lambda k: seat(0, k, F.col("block"), F.lit(1))))
+    rows = rows.withColumn("block", block).withColumn("seat", F.explode(seats)).join(forest.select("doc_id", "n", "sig"), ["doc_id", "n"])
+    rows = rows.select("region", "seat.*", "tree", "doc_id", "label", "n", "shared", "sig")
+    cell = ["region", "kind", "i", "j"]
+
+    def ends(rows: pa.Table) -> pa.Table:
+        """The rows of the cell that are in any pair."""
+        used = np.zeros(rows.num_rows, dtype=bool)
+        for p, q, _ in _Cell(rows, *limits).pairs():
+            used[p] = used[q] = True
+        return rows.filter(pa.array(used))
+
+    def links(rows: pa.Table) -> pa.Table:
+        """A spanning forest of the links between the cell's components; likely pairs first."""
+        us, vs, root = [], [], {}
+        own = _Cell(rows, *limits)
+        p, q, likely = (np.concatenate([*x]) for x in zip(*own.pairs()))
+        sets = rows["set"].combine_chunks()
+        value = lambda i: np.frombuffer(sets[i].as_buffer(), "<u8")
+
+        def find(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        for k in np.argsort(-likely, kind="stable").tolist():
+            i, j = int(p[k]), int(q[k])
+            a, b = find(int(own.label[i])), find(int(own.label[j]))
+            if a != b and similar(value(i), value(j), percent):
+                root[max(a, b)] = min(a, b)
+                us.append(int(own.ids[i]))
+                vs.append(int(own.ids[j]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    held = cut(rows.groupBy(*cell).applyInArrow(ends, rows.schema))
+    sized = sets.withColumn("n", F.expr("octet_length(set) div 8"))
+    return held.join(sized, ["doc_id", "n"]).groupBy(*cell).applyInArrow(links, "u long, v long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,11 +397,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             us, vs, keep = b.column("x"), b.column("y"), np.zeros(b.num_rows, dtype=bool)
             for i in range(b.num_rows):
-                x, y = np.frombuffer(us[i].as_buffer(), "<u8"), np.frombuffer(vs[i].as_buffer(), "<u8")
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = similar(np.frombuffer(us[i].as_buffer(), "<u8"), np.frombuffer(vs[i].as_buffer(), "<u8"), percent)
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("x")), "u")
@@ -351,8 +433,8 @@ def components(edges: DataFrame) -> DataFrame:
 #: a pair of sets weighs as much as so many thin rows
 PAIRS_IN_ONE = 50
 
-#: rows of a block of a large region
-BLOCK = 2048
+#: rows, and shingles of all their sets, of a block of a large region
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 #: (trees, rows of a leaf, neighbours on either side) of each round
 ROUNDS = ((2, 1, 1), (8, 4, 2), (TREES, 8, 4))
@@ -370,26 +452,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     summary = cut(_summaries(source, shingle))
     solid = summary.where("n > 0 and doc_id is not null")
     rows, ids = solid.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    reps = solid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    same = cut(solid.join(reps, ["k1", "k2"]).select("doc_id", "n", "rep"))
+    # Written first, so that a join with a large group of copies can be split.
+    reps = cut(solid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2", "rep"))
+    same = cut(solid.join(reps, ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     unique = rows == ids
     once = (lambda df: df) if unique else (lambda df: df.distinct())
     forest = cut(once(_signed(source, same.select(F.col("rep").alias("doc_id")).distinct(), shingle)))
-    floor, digit_floor = least_matches((1 + percent / 100) / 2, SKETCH), least_matches(percent / 100, TREES * DEPTH)
+    floor = least_matches((1 + percent / 100) / 2, SKETCH)
+    sets_of = lambda ids: once(_sets(source, ids, shingle))
     labels = spark.createDataFrame([], "doc_id long, label long")
     joined, tested = None, None
     for trees, leaf, reach in (*ROUNDS, (None, ROUNDS[-1][1], None)):
         if trees is None:
-            pairs = _rest(forest, labels, least, leaf, floor, digit_floor)
+            new = cut(_rest(forest, labels, sets_of, least, leaf, percent, unique))
         else:
             pairs = _neighbours(_rows(forest, labels, trees, least), leaf, reach, floor)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        total = pairs.count()
-        if not total:
-            continue
-        ends = cut(few(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), 2 * total))
-        new = cut(few(_confirm(pairs, once(_sets(source, ends, shingle)), percent), PAIRS_IN_ONE * total))
+            pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            total = pairs.count()
+            if not total:
+                continue
+            ends = cut(few(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), 2 * total))
+            new = cut(few(_confirm(pairs, sets_of(ends), percent), PAIRS_IN_ONE * total))
         if not new.count():
             continue
         # The stars found so far stand for all links before.
@@ -405,17 +489,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def _signed(source: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, sig) of the representatives."""
+    """(doc_id, n, sig) of the representatives."""
 
     def run(batches):
         for b in batches:
-            ids, sigs = [], []
+            ids, sizes, sigs = [], [], []
             for at, to, hashes, first in shingle_sets(b.column("t"), shingle):
                 for r in range(to - at):
                     if first[r + 1] > first[r]:
                         ids.append(at + r)
+                        sizes.append(int(first[r + 1] - first[r]))
                         sigs.append(signature(hashes[first[r] : first[r + 1]]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n", "sig"])
 
-    signed = source.where("t is not null and doc_id is not null").mapInArrow(run, "doc_id long, sig binary")
+    signed = source.where("t is not null and doc_id is not null").mapInArrow(run, "doc_id long, n long, sig binary")
     return signed.join(reps, "doc_id", "left_semi")

@@ -101,3 +101,20 @@ def test_components_of_a_long_path(spark):
 
 def test_empty(spark):
     assert near_dedup.classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_links_inside_a_crowded_template(spark, monkeypatch):
+    """Rows of one template with 4 changed words, hardly any of them linked, and 40 rows with 2, linked with each other."""
+    rnd = random.Random(8)
+    base = ["t" + str(k) for k in range(300)]
+    rows = []
+    for i in range(1200):
+        t = list(base)
+        for k in rnd.sample(range(300), 2 if i % 30 == 0 else 4):
+            t[k] = "x" + str(rnd.randrange(10**9))
+        rows.append((i, " ".join(t)))
+    want = brute(rows)
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA).repartition(4)
+    for block in (near_dedup.BLOCK, 100):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(df).collect()} == want
