@@ -103,21 +103,24 @@ WITH t AS (
 ), s AS (
   SELECT conv_id AS sc, min(ord) AS s_ord, arg_min(tok, ord) AS s_tok, arg_min(chars, ord) AS s_chars FROM o WHERE r = 'system' GROUP BY conv_id
 ), p AS (
-  SELECT o.*, s_ord, s_chars, tok > 128 AS long, greatest(128, 1024 - 128 - coalesce(s_tok, 0)) AS stride,
-    sum(CASE WHEN tok > 128 THEN 0 ELSE tok END) OVER w AS prefix,
-    2 * sum((tok > 128)::int) OVER w - (tok > 128)::int AS seg
+  SELECT o.*, s_ord, s_chars, greatest(1, 1024 - coalesce(s_tok, 0)) AS room,
+    coalesce(sum(tok) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, coalesce(lag(tok) OVER w, 0) AS prev
   FROM o LEFT JOIN s ON sc IS NOT DISTINCT FROM o.conv_id
-  WINDOW w AS (PARTITION BY o.conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING)
+  WINDOW w AS (PARTITION BY o.conv_id ORDER BY ord)
+), c AS (
+  SELECT *, least(512, room // 2) AS allowed, CASE WHEN prev + tok <= room THEN lo - prev ELSE lo END AS back FROM p
 ), w AS (
-  SELECT *, CASE WHEN long THEN 0 ELSE (prefix - 1) // stride END AS span, coalesce(ord = s_ord, false) AS is_sys FROM p
-), items AS (
-  SELECT conv_id, seg, span, ord, chars, s_ord, s_chars, is_sys, 1 AS new FROM w
-  UNION ALL
-  SELECT conv_id, seg, span + 1, ord, chars, s_ord, s_chars, is_sys, 0 FROM w
-  WHERE NOT long AND NOT is_sys AND prefix - tok >= (span + 1) * stride - 128
+  SELECT *, (lo + tok - 1) // (room - allowed) AS span, back < (lo + tok - 1) // (room - allowed) * (room - allowed) - allowed AS lone FROM c
+), b AS (
+  SELECT conv_id, span, CASE WHEN lone THEN ord END AS part, min(ord) AS first, any_value(s_ord) AS s_ord, any_value(s_chars) AS s_chars,
+    greatest(max(lo + tok - room), least(min(lo - allowed), min(back))) AS floor_at, sum(chars) AS own, coalesce(bool_or(ord = s_ord), false) AS has_sys
+  FROM w GROUP BY ALL
+), ctx AS (
+  SELECT b.conv_id, b.first, sum(t.chars) AS chars, min(t.ord) AS least_ord
+  FROM b JOIN w AS t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.ord < b.first AND t.lo >= floor_at AND t.ord IS DISTINCT FROM t.s_ord GROUP BY ALL
 ), windows AS (
-  SELECT conv_id, sum(chars) + CASE WHEN any_value(s_ord) IS NOT NULL AND NOT bool_or(is_sys) AND min(ord) > any_value(s_ord) THEN any_value(s_chars) ELSE 0 END AS chars
-  FROM items GROUP BY conv_id, seg, span HAVING max(new) = 1
+  SELECT b.conv_id, own + coalesce(ctx.chars, 0) + CASE WHEN s_ord < coalesce(least_ord, b.first) AND NOT has_sys THEN s_chars ELSE 0 END AS chars
+  FROM b LEFT JOIN ctx ON ctx.conv_id IS NOT DISTINCT FROM b.conv_id AND ctx.first = b.first
 ), f AS (
   SELECT conv_id, sum(chars)::bigint AS formatted_chars FROM windows GROUP BY conv_id
 ), d AS (

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from quillan.llm import chat_format
 
@@ -45,3 +46,36 @@ def test_windows_keep_budget_and_system_turn(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert chat_format.read_back(chat_format.format_windows(df)).count() == 0
+
+
+def test_targets_have_the_turn_before_them(spark):
+    """Each window repeats the turn before its first new one wherever both and the system turn fit the budget, and not more than that or the history."""
+    rnd = random.Random(3)
+    cost = lambda x: -(-len(x) // 4) + 4
+    data, want = [], {}
+    for c in range(30):
+        system = [("system", "s" * rnd.choice([10, 400, 3000]))] if c % 3 else []
+        turns = system + [("assistant" if k % 2 else "user", f"{k}:" + "x" * rnd.choice([1, 40, 500, 1500, 3000, 5000])) for k in range(rnd.choice([1, 6, 60]))]
+        data += [(c, 10 * k, r, x, None) for k, (r, x) in enumerate(turns)]
+        want[c] = turns
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    alone = total = 0
+    for chunk in (256, 100):
+        seen = {c: [] for c in want}
+        for w in sorted(chat_format.format_windows(df, chunk=chunk).collect(), key=lambda w: (w["conv_id"], w["span"], w["part"])):
+            turns = want[w["conv_id"]]
+            room = 1024 - (cost(turns[0][1]) if turns[0][0] == "system" else 0)
+            parts = [x[: -len("<|im_end|>\n")].split("\n", 1) for x in w["formatted"].split("<|im_start|>")[1:]]
+            context, new = parts[: w["n_context"]], parts[w["n_context"] :]
+            at = len(seen[w["conv_id"]])
+            seen[w["conv_id"]] += [tuple(x) for x in new]
+            tail = [x for x in context if x[0] != "system"]
+            assert [tuple(x) for x in tail] == [x for x in turns[max(0, at - len(tail)) : at] if x[0] != "system"]
+            if at and turns[at - 1][0] != "system":
+                fits = cost(turns[at - 1][1]) + cost(turns[at][1]) <= room
+                assert bool(tail) == fits
+                alone, total = alone + (not fits), total + 1
+            assert w["n_tokens"] <= 1024 or (len(new) == 1 and cost(new[0][1]) > room) and w["oversize"]
+            assert sum(cost(x[1]) for x in tail) <= max(512, cost(tail[-1][1]) if tail else 0)
+        assert seen == want
+    assert 0 < alone < total
