@@ -38,7 +38,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sharding.shard_by_bytes(docs).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return sharding.shard_by_bytes(docs, dims=["n_chars", "lang", "source"]).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 def held_out(doc_id: str = "doc_id"):
