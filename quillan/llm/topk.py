@@ -3,18 +3,23 @@
 Vectors are rotated by the eigenvectors of the table's Gram matrix, so that
 the first coordinates hold most of the length.  A first block of the longest
 vectors gives each query a lower bound for its k-th score.  Then every
-partition goes through its vectors by descending length: a vector is left out
-when |q||v| is below the bound, or when the partial product over the leading
-coordinates plus the product of the residual lengths (Cauchy-Schwarz) is.
-What is left is scored exactly in integers.  Pruning never changes a result.
-
-Queries go to the executors in blocks of at most ``query_block`` rows, so the
-broadcast size is bounded; each block is one pass over the table.
+partition is sorted by descending length and read from the front: a vector is
+left out when |q||v| is below the bound, or when the partial product over the
+leading coordinates plus the product of the residual lengths (Cauchy-Schwarz)
+is; once |q||v| is below the bound of every query, the rest of the partition is
+not looked at.  What is left is scored exactly in integers.  Pruning never
+changes a result.
+
+Queries go to the executors in blocks of at most ``query_bytes``, so the
+broadcast size is bounded; each block is one pass over the table.  Vectors are
+taken in steps of at most ``CELLS`` vector-query pairs, which bounds the
+matrices of a task whatever the numbers of queries and vectors.
 
 Cases: vectors that are null or hold null or non-finite components, and rows
 without an id, take no part; vectors of unequal length are compared as if
 padded with zeros; rows that repeat a query's id are not its candidates;
-repeated candidate rows keep one result each; ties go to the smaller id.
+repeated candidate rows keep one result each; a query id with several vectors
+gets the highest scores of all of them; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SCALE = 1024
+#: pairs of a vector and a query that a task holds at a time, 8 bytes for each in every matrix
+CELLS, STEP = 2_000_000, 2048
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -79,6 +86,10 @@ class _Block:
         self.norm = np.sqrt((q**2).sum(1))
         self.floor = np.full(len(ids), -np.inf)
 
+    @staticmethod
+    def nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
     def best(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best of (query, id, score) triples for each query; raises the bounds."""
         qi, ids, s = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -90,15 +101,18 @@ class _Block:
         keep = rank < self.k
         return qi[keep], ids[keep], s[keep]
 
-    def scan(self, ids: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of a vector and a query that the bounds let through and that reach the query's floor."""
+    def step(self) -> int:
+        return max(1, min(STEP, CELLS // len(self.ids)))
+
+    def scan(self, ids: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """All pairs of a vector and a query that the bounds let through and that reach the query's floor.
+
+        The vectors come by descending length; None says that no query needs these or shorter ones.
+        """
         norm = np.sqrt((c**2).sum(1))
-        order = np.argsort(-norm, kind="stable")
-        ids, c, norm = ids[order], c[order], norm[order]
-        live = np.flatnonzero(self.norm * (norm[0] if len(norm) else 0) * (1 + 1e-9) + 1e-3 >= self.floor)
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if not len(live) or not len(norm):
-            return empty
+        live = np.flatnonzero(self.norm * norm[0] * (1 + 1e-9) + 1e-3 >= self.floor)
+        if not len(live):
+            return None
         # The longest prefix of vectors that some query still needs.
         need = np.where(self.norm[live] > 0, self.floor[live] / np.maximum(self.norm[live], 1e-12), -np.inf)
         upto = int(np.searchsorted(-norm, -(need.min() * (1 - 1e-9) - 1e-3), side="right"))
@@ -113,17 +127,20 @@ class _Block:
             s = score[ci, li]
         else:
             ci, li = np.nonzero(mask)
-            s = np.einsum("ij,ij->i", c[ci], self.q[live[li]])
+            s, wide = np.empty(len(ci)), max(1, CELLS // max(1, c.shape[1]))
+            for at in range(0, len(ci), wide):
+                s[at : at + wide] = np.einsum("ij,ij->i", c[ci[at : at + wide]], self.q[live[li[at : at + wide]]])
             keep = s >= self.floor[live[li]]
             ci, li, s = ci[keep], li[keep], s[keep]
         other = ids[ci] != self.ids[live[li]]
         return live[li[other]], ids[ci[other]], s[other]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", lead: int = 16, query_block: int = 65536, first_block: int = 4096, step: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", lead: int = 16, query_bytes: int = 32 << 20, first_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with the rows of vectors."""
     spark = vectors.sparkSession
-    points = scaled(vectors, id_col, vec_col)
+    length = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    points = scaled(vectors, id_col, vec_col).withColumn("n", length)
     asked = scaled(queries, id_col, vec_col).distinct()
     schema = "query_id long, vec_id long, score long"
     dim, total = asked.select(F.max(F.size("v")), F.count(F.lit(1))).first()
@@ -132,10 +149,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(dim, wide, 1)
     turn = rotation(points, dim)
-    head = points.withColumn("n", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).orderBy(F.desc("n"), "vec_id").limit(first_block).select("vec_id", "v").toArrow().combine_chunks()
+    head = points.orderBy(F.desc("n"), "vec_id").limit(first_block).select("vec_id", "v").toArrow().combine_chunks()
     head_ids = np.asarray(head["vec_id"].combine_chunks()) if head.num_rows else np.zeros(0, np.int64)
     head_rows = _matrix(head["v"].combine_chunks(), dim) if head.num_rows else np.zeros((0, dim))
-    blocks = -(-total // query_block)
+    blocks = -(-total // max(1, query_bytes // (8 * dim)))
+    ordered = points.sortWithinPartitions(F.desc("n")).select("vec_id", "v")
+    ordered = cut(ordered) if blocks > 1 else ordered
     parts = []
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
@@ -144,24 +163,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
             continue
         ids = np.asarray(got["vec_id"].combine_chunks())
         block = _Block(ids, _matrix(got["v"].combine_chunks(), dim), turn, min(lead, dim), k)
-        for at in range(0, len(head_ids), step):
-            block.best([x for x in (block.scan(head_ids[at : at + step], head_rows[at : at + step]),)])
+        have = block.nothing()
+        for at in range(0, len(head_ids), block.step()):
+            got = block.scan(head_ids[at : at + block.step()], head_rows[at : at + block.step()])
+            if got is None:
+                break
+            have = block.best([have, got])
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             block = shared.value
-            block.floor = block.floor.copy()
-            start = block.floor.copy()
-            have = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for x in batches:
-                ids, rows = np.asarray(x.column("vec_id")), x.column("v")
-                for at in range(0, len(ids), step):
-                    got = block.scan(ids[at : at + step], _matrix(rows.slice(at, step), dim))
-                    have = block.best([have, got])
+            start = block.floor
+            block.floor = start.copy()
+            have = block.nothing()
+            for at, ids, rows in ((at, x.column("vec_id"), x.column("v")) for x in batches for at in range(0, x.num_rows, block.step())):
+                got = block.scan(np.asarray(ids.slice(at, block.step())), _matrix(rows.slice(at, block.step()), dim))
+                if got is None:
+                    break
+                have = block.best([have, got])
             block.floor = start  # the next task of this worker starts from the shared bounds
             yield pa.RecordBatch.from_arrays([pa.array(block.ids[have[0]]), pa.array(have[1]), pa.array(have[2].astype(np.int64))], ["query_id", "vec_id", "score"])
 
-        part = points.mapInArrow(run, schema)
+        part = ordered.mapInArrow(run, schema)
         if blocks > 1:
             part = cut(_ranked(part, k))
             shared.unpersist()
