@@ -108,11 +108,11 @@ class _Terms:
         for _, s, e in spans:
             free[np.searchsorted(self.end, s, "right") : np.searchsorted(self.start, e, "left")] = False
         self.free = free
+        self.free_hash, self.free_start, self.free_end = self.hash[free], self.start[free], self.end[free]
 
     def near(self, s: int, e: int, reach: int) -> np.ndarray:
-        at = np.flatnonzero(self.free)
-        left, right = np.searchsorted(self.end[at], s, "right"), np.searchsorted(self.start[at], e, "left")
-        return np.unique(np.concatenate((self.hash[at[max(0, left - reach) : left]], self.hash[at[right : right + reach]])))
+        left, right = np.searchsorted(self.free_end, s, "right"), np.searchsorted(self.free_start, e, "left")
+        return np.unique(np.concatenate((self.free_hash[max(0, left - reach) : left], self.free_hash[right : right + reach])))
 
 
 def _rows(column: pa.Array):
@@ -195,18 +195,8 @@ def disclosing(docs: DataFrame, text_col: str = "text", reach: int = 8, support:
     return pairs.join(counts, "t").join(sizes, "e").where((F.col("n_et") >= share * F.col("df")) & (gain >= bits)).select("e", "t")
 
 
-def _spans(text: str, spans: list, reveals: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
-    """Base spans with the disclosing terms of the entities that the text names."""
-    known = [reveals[x] for x in {entity(k, text[s:e]) for k, s, e in spans} if x in reveals]
-    if not known:
-        return spans
-    words = _Terms(text, spans)
-    at = np.flatnonzero(words.free & np.isin(words.hash, np.concatenate(known)))
-    return spans + [(4, int(words.start[i]), int(words.end[i])) for i in at]
-
-
 def _every(text: str, spans: list, terms: HashSet) -> list[tuple[int, int, int]]:
-    """Base spans with all disclosing terms of the text."""
+    """Base spans with those terms of the text."""
     words = _Terms(text, spans)
     at, _ = terms.find(words.hash)
     return spans + [(4, int(words.start[i]), int(words.end[i])) for i in at if words.free[i]]
@@ -265,9 +255,7 @@ def _judge(docs: DataFrame, text_col: str, schema, emit, settings: dict) -> Data
     if few.num_rows <= broadcast_rows:
         e, t = (np.asarray(few[c].combine_chunks()) if few.num_rows else np.zeros(0, np.int64) for c in ("e", "t"))
         order = np.argsort(e, kind="stable")
-        names, first = np.unique(e[order], return_index=True)
-        reveals = {int(k): v for k, v in zip(names, np.split(t[order].view(np.uint64), first[1:]))} if len(names) else {}
-        shared = docs.sparkSession.sparkContext.broadcast(reveals)
+        shared = docs.sparkSession.sparkContext.broadcast((e[order], t[order].view(np.uint64)))
         source = docs
     else:
         shared = None
@@ -290,12 +278,14 @@ def _judge(docs: DataFrame, text_col: str, schema, emit, settings: dict) -> Data
         for b in batches:
             found = {}
             for i, text, spans in _rows(b.column(text_col)):
-                reveals = shared.value if shared is not None else {}
-                if shared is None:
-                    for p in b.column("__pairs")[i].as_py() or []:
-                        reveals.setdefault(p["e"], []).append(p["t"])
-                    reveals = {k: np.array(v, np.int64).view(np.uint64) for k, v in reveals.items()}
-                found[i] = (spans, _spans(text, spans, reveals))
+                own = {entity(k, text[s:e]) for k, s, e in spans}
+                if shared is not None:
+                    e, t = shared.value
+                    terms = [t[np.searchsorted(e, x, "left") : np.searchsorted(e, x, "right")] for x in own]
+                else:
+                    terms = [np.array([p["t"] for p in b.column("__pairs")[i].as_py() or []], np.int64).view(np.uint64)]
+                terms = np.concatenate(terms)
+                found[i] = (spans, _every(text, spans, HashSet(terms)) if len(terms) else spans)
             yield emit(b, found)
 
     return source.mapInArrow(run, schema)

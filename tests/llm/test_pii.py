@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -90,3 +92,62 @@ def test_redact_keeps_columns_and_removes_values(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert pii.find(df).count() == 0 and pii.redact(df).count() == 0
+
+
+def brute_terms(texts, reach=8, support=5, share=0.5, bits=6.0):
+    """Disclosing terms of distinct texts, from lists and sets."""
+
+    def words(text):
+        spans = brute(text)
+        out = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+        return spans, out, [w for w in out if len(w[0]) >= 3 and not any(w[1] < e and w[2] > s for _, s, e in spans)]
+
+    texts = set(texts)
+    contexts, near, named, held = {}, {}, {}, {}
+    for text in texts - {None}:
+        spans, every, free = words(text)
+        for t in {w[0] for w in every}:
+            held.setdefault(t, set()).add(text)
+        for k, s, e in spans:
+            name = (k, re.sub("[^0-9]", "", text[s:e]) if k >= 2 else text[s:e].lower())
+            named.setdefault(name, set()).add(text)
+            around = frozenset([w[0] for w in free if w[2] <= s][-reach:] + [w[0] for w in free if w[1] >= e][:reach])
+            for t in around:
+                contexts.setdefault((name, t), set()).add(around)
+                near.setdefault((name, t), set()).add(text)
+    out = set()
+    for (name, t), own in contexts.items():
+        n, df = len(near[name, t]), len(held[t])
+        if len(own) >= support and n >= share * df and math.log2(n * len(texts) / (len(named[name]) * df)) >= bits:
+            out.add(t)
+    return out, words
+
+
+def test_term_spans_equal_a_plain_count(spark):
+    rnd = random.Random(2)
+    people = [("ann@y.org", "Heliotrope"), ("+1 (234) 555-0000", "zeppelin é"), ("10.0.0.9", "Quartz-box"), ("bo@z.net", "the")]
+    rows = []
+    for i in range(4500):
+        text = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([3, 30, 60]))] + ["the"] * (i % 2)
+        if i % 45 == 0:
+            for who, term in rnd.sample(people, rnd.choice([1, 1, 2])):
+                text.insert(rnd.randrange(len(text)), rnd.choice([f"{term} {who}", f"{who} w1 {term},", who.upper() if "@" in who else who, f"{term} {who} {who}"]))
+        if i % 300 == 7:
+            text.append(rnd.choice(people)[1])
+        rows.append((i, " ".join(text), None))
+    rows += [(5000 + i, rows[0][1], None) for i in range(500)] + [(6000, None, None), (6001, "", None), (6002, "Zeppelin" * 3, None)]
+    terms, words = brute_terms([t for _, t, _ in rows])
+    assert {"heliotrope", "zeppelin", "quartz", "box"} <= terms and "the" not in terms | {"w1"}
+    want = {}
+    for i, t, _ in rows:
+        spans, _, free = words(t or "")
+        want[i] = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans + [(4, s, e) for w, s, e in free if w in terms])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for limit in (1 << 20, 0):
+        assert {r["doc_id"]: r["spans"] for r in pii.find(df, everywhere=True, broadcast_rows=limit).collect()} == want
+
+
+def test_many_mentions_in_one_text(spark):
+    text = " ".join(f"a{i} u{i % 9}@x.org" for i in range(40000))
+    (got,) = pii.find(spark.createDataFrame([(1, text, None)], SCHEMA)).collect()
+    assert got["n_email"] == 40000
