@@ -12,9 +12,11 @@ score, and pairs at ``threshold`` or more are contaminated.  An alignment
 scores at most ``MATCH`` for each word of the item that the passage holds, so
 passages with too few of them, as around stock phrases, are not aligned.
 
-The build side is broadcast in blocks of items of at most ``block_words``
-words, one pass for each block, so its size has a fixed bound; the corpus
-itself is never shuffled.
+The build side is broadcast in blocks of at most ``block_bytes`` of items'
+texts, one pass for each block, so its size has a fixed bound; the corpus
+itself is never shuffled.  A task holds at most ``HITS`` seed matches and
+``CELLS`` places of score matrices at a time (or one pair); aligning an item of
+n words takes time in proportion to n squared.
 
 Cases: null or empty texts match nothing; items without words are left out;
 repeated rows and ids are each reported; empty tables give empty results;
@@ -25,12 +27,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkernel import HashSet, Words, mix64, ngram_hashes, run_starts, slices
 
 MATCH, MISS, GAP = 2, -1, -1
+#: places of a score matrix's rows, and pairs of a seed occurrence and an item, that are held at a time
+CELLS, HITS = 1 << 20, 1 << 20
 
 
 def align(passages: np.ndarray, items: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +76,7 @@ class Index:
         self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
         self.size = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
+        self.pad = np.maximum(4, self.size // 4)
         found = []
         for i in np.flatnonzero(self.size):
             n = int(min(seed, self.size[i]))
@@ -102,65 +108,93 @@ def possible(passages: np.ndarray, items: np.ndarray, lengths: np.ndarray, thres
     return MATCH * shared.sum(1) / (MATCH * lengths) >= threshold
 
 
-def find(words: Words, index: Index, sets: dict[int, HashSet], threshold: float, batch: int = 512):
-    """(row, item, score, first word, word after) of each contaminated pair of the slice."""
-    h = words.hashes()
-    parts = []
-    for seed, row, at in _seed_hits(words, h, sets):
-        lo, hi = np.searchsorted(index.hash, seed, "left"), np.searchsorted(index.hash, seed, "right")
-        n = hi - lo
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        parts.append((np.repeat(row, n), index.item[which], np.repeat(at, n) - index.at[which]))
-    row, item, diagonal = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
-    if not len(row):
-        return [np.zeros(0, np.int64)] * 5
-    pad = np.maximum(4, index.size // 4)
-    lane = diagonal // (pad[item] + 1)
-    row, item, lane = np.unique(np.stack([row, item, lane], 1), axis=0).T
-    first = np.maximum(lane * (pad[item] + 1) - pad[item], words.row_first[row])
-    last = np.minimum((lane + 1) * (pad[item] + 1) + index.size[item] + pad[item], words.row_first[row + 1])
+def _lanes(words: Words, index: Index, seed: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distinct (row, item, lane) of seed occurrences; a lane is a band of diagonals."""
+    lo, hi = np.searchsorted(index.hash, seed, "left"), np.searchsorted(index.hash, seed, "right")
+    n = hi - lo
+    which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    item = index.item[which]
+    lane = (np.repeat(at, n) - index.at[which]) // (index.pad[item] + 1)
+    return np.unique(np.stack([np.repeat(row, n), item, lane], 1), axis=0)
+
+
+def _score(words: Words, h: np.ndarray, index: Index, found: np.ndarray, threshold: float):
+    """(row, item, score, first word, word after) of those (row, item, lane) that reach the threshold."""
+    row, item, lane = found.T
+    pad, size = index.pad[item], index.size[item]
+    first = np.maximum(lane * (pad + 1) - pad, words.row_first[row])
+    last = np.minimum((lane + 1) * (pad + 1) + size + pad, words.row_first[row + 1])
     score, end = np.zeros(len(row)), np.zeros(len(row), np.int64)
-    order = np.argsort(last - first, kind="stable")
-    for b in range(0, len(order), batch):
-        k = order[b : b + batch]
-        span = np.arange((last[k] - first[k]).max())
+    order = np.argsort(np.maximum(last - first, size), kind="stable")
+    wide = np.maximum(last - first, size)[order]
+    b = 0
+    while b < len(order):
+        # As many pairs as stay within CELLS when each is as wide as the last one.
+        upto = b + max(1, int(np.searchsorted(-(CELLS // np.maximum(1, wide[b:])) + np.arange(len(wide) - b), 0)))
+        k, b = order[b:upto], upto
+        span = np.arange(max(1, (last[k] - first[k]).max()))
         inside = first[k][:, None] + span < last[k][:, None]
         passages = np.where(inside, h[np.minimum(first[k][:, None] + span, len(h) - 1)], np.uint64(0))
-        depth = np.arange(index.size[item[k]].max())
+        depth = np.arange(size[k].max())
         items = index.words[np.minimum(index.first[item[k]][:, None] + depth, len(index.words) - 1)]
-        able = possible(passages, items, index.size[item[k]], threshold)
+        able = possible(passages, items, size[k], threshold)
         k = k[able]
         if len(k):
-            best, end[k] = align(passages[able], items[able], index.size[item[k]])
-            score[k] = best / (MATCH * index.size[item[k]])
+            best, end[k] = align(passages[able], items[able], size[k])
+            score[k] = best / (MATCH * size[k])
     keep = np.flatnonzero(score >= threshold)
-    keep = keep[np.lexsort((lane[keep], -score[keep], item[keep], row[keep]))]
-    pair = np.stack([row[keep], item[keep]], 1)
-    keep = keep[np.concatenate(([True], (pair[1:] != pair[:-1]).any(1)))] if len(keep) else keep
+    return row[keep], item[keep], score[keep], first[keep], first[keep] + end[keep]
+
+
+def find(words: Words, index: Index, sets: dict[int, HashSet], threshold: float):
+    """(row, item, score, first word, word after) of each contaminated pair of the slice, at its best passage.
+
+    Seed occurrences are taken in parts of at most about ``HITS`` pairs with items, which bounds memory.
+    """
+    h = words.hashes()
+    nothing = [np.zeros(0, np.int64)] * 5
+    hits = [np.concatenate(x) for x in zip(*_seed_hits(words, h, sets))] if sets else nothing
+    if not len(hits[0]):
+        return nothing
+    order = np.argsort(hits[1], kind="stable")
+    seed, row, at = (x[order] for x in hits)
+    pairs = np.cumsum(np.searchsorted(index.hash, seed, "right") - np.searchsorted(index.hash, seed, "left"))
+    parts, low = [], 0
+    while low < len(seed):
+        high = max(low + 1, int(np.searchsorted(pairs, (pairs[low - 1] if low else 0) + HITS, "right")))
+        parts.append(_score(words, h, index, _lanes(words, index, seed[low:high], row[low:high], at[low:high]), threshold))
+        low = high
+    row, item, score, first, last = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((first, -score, item, row))
+    pair = np.stack([row[order], item[order]], 1)
+    keep = order[np.concatenate(([True], (pair[1:] != pair[:-1]).any(1)))] if len(order) else order
     base = words.row_first[row[keep]]
-    return row[keep], item[keep], score[keep], first[keep] - base, first[keep] + end[keep] - base
+    return row[keep], item[keep], score[keep], first[keep] - base, last[keep] - base
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
+    """(ids, texts) in blocks of at most ``block_bytes`` of text, or one longer text."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total = rows.select(F.sum(F.size(F.split("t", r"\W+")))).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    for b in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+    total = rows.select(F.sum(F.octet_length("t"))).first()[0] or 0
+    # Parts are of about half that size, and cut again where the hash makes one larger.
+    parts = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    for b in range(parts):
+        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == b)
         got = own.toArrow().combine_chunks()
-        if got.num_rows:
-            yield got["i"].combine_chunks(), got["t"].combine_chunks()
+        size = np.cumsum(np.asarray(pc.binary_length(got["t"]).combine_chunks())) if got.num_rows else np.zeros(0, np.int64)
+        at = 0
+        while at < got.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + block_bytes, "right")))
+            yield got["i"].slice(at, to - at).combine_chunks(), got["t"].slice(at, to - at).combine_chunks()
+            at = to
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = 4, threshold: float = 0.5, times: float = 8, floor: int = 100, block_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, score, word_start, word_end): contaminated pairs; the words bound the aligned passage.
-
-    ``times`` and ``floor`` once set which frequent seeds were dropped; none is now.
-    """
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = 4, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, item_id, score, word_start, word_end): contaminated pairs; the words bound the aligned passage."""
     schema = "doc_id long, item_id long, score double, word_start long, word_end long"
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     out = None
-    for ids, texts in _blocks(items, item_col, item_text, block_words):
+    for ids, texts in _blocks(items, item_col, item_text, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, seed))
 
         def run(batches, shared=shared):
@@ -176,10 +210,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = 4, threshold: float = 0.5, times: float = 8, floor: int = 100, block_words: int = 2_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = 4, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs that match no test item, with all their columns."""
     out = docs
-    for ids, texts in _blocks(items, item_col, item_text, block_words):
+    for ids, texts in _blocks(items, item_col, item_text, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, seed))
 
         def run(batches, shared=shared):
