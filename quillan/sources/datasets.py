@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillan.errors import InvalidArgument
 from quillan.operators.knn import nearest
+from quillan.operators.numbering import numbered
 
 DENSE = "id long, vec array<float>"
 SPARSE = "id long, dim long, indices array<long>, vals array<float>"
@@ -33,8 +34,14 @@ def checked(df: DataFrame, dim: int) -> DataFrame:
 def append(df: DataFrame, more: DataFrame) -> DataFrame:
     """Rows of more after those of df, with new ids from df's largest on."""
     top = df.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-    numbered = more.rdd.zipWithIndex().map(lambda x: (x[1] + top + 1, x[0]["vec"])).toDF(DENSE)
-    return df.unionByName(numbered)
+    return df.unionByName(numbered(more.select("vec"), "id", top + 1).select("id", F.col("vec").cast("array<float>").alias("vec")))
+
+
+def append_named(df: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows (docid, vec) after those of df (id, docid, vec), with new ids; a name that df has gets one more row."""
+    top = df.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    new = numbered(more.select("docid", "vec"), "id", top + 1).select("id", "docid", F.col("vec").cast("array<float>").alias("vec"))
+    return df.select("id", "docid", "vec").unionByName(new)
 
 
 def sparse_rows(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillan.errors import NotFound
+from quillan.operators.numbering import numbered
 
 LOG = "seq long, op string, id long, vec array<float>"
 
@@ -57,7 +58,8 @@ def add(base: DataFrame, log: DataFrame, rows: DataFrame) -> DataFrame:
     """Log rows that add rows (vec) under ids never used before, after all others."""
     seq = log.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
     used = base.select("id").unionByName(log.select("id")).agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-    return rows.rdd.zipWithIndex().map(lambda x: (seq + 1 + x[1], "add", used + 1 + x[1], x[0]["vec"])).toDF(LOG)
+    n = F.col("__n")
+    return numbered(rows.select("vec"), "__n").select((seq + 1 + n).alias("seq"), F.lit("add").alias("op"), (used + 1 + n).alias("id"), F.col("vec").cast("array<float>").alias("vec"))
 
 
 def get(table: DataFrame, wanted: DataFrame) -> DataFrame:

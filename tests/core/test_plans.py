@@ -173,6 +173,10 @@ def test_sources(spark, tmp_path):
     for bad in (lambda: datasets.from_flat(spark, [1.0, 2, 3], 2), lambda: datasets.from_rows(spark, [[1.0], [1.0, 2.0]])):
         with pytest.raises(InvalidArgument):
             bad()
+    many = datasets.append(df, spark.range(1000).repartition(7).select(F.array(F.col("id").cast("float"), F.lit(0.0)).alias("vec")))
+    assert sorted(r["id"] for r in many.collect()) == list(range(1002))
+    named = datasets.append_named(df.withColumn("docid", F.lit("a")), spark.createDataFrame([("a", [7.0, 8.0]), ("b", [9.0, 9.0])], "docid string, vec array<double>").coalesce(1))
+    assert [(r["docid"], r["id"]) for r in datasets.id_map(named).orderBy("docid").collect()] == [("a", 2), ("b", 3)]
     more = datasets.append(df, datasets.from_rows(spark, [[5.0, 6]]))
     assert {r["id"]: r["vec"] for r in more.collect()}[2] == [5, 6]
     sparse = spark.createDataFrame([(1, 9, [3, 1, 2], [3.0, 0.0, 2.0])], datasets.SPARSE)
