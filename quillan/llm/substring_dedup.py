@@ -17,8 +17,13 @@ is the unit that moves.  All occurrences of an edge have the same anchor, so:
 4. Every path that is not at its own source coordinate repeats as a whole;
    a path at its source repeats in the edges whose source lies elsewhere.
 
-Paths and edges are identified by two 64-bit hashes (anchor and content), and
-the coordinates decide which occurrence is first.  Texts are shuffled once, by
+5. Neighbouring paths whose sources are neighbours too compact to one maximal
+   run with its source coordinate, however long it is.  (A path at an end of a
+   run may have its source in another earlier document with the same words.)
+
+A path or edge is joined with a source only if their anchors agree in one
+64-bit hash and all their words in another, independent one; the coordinates
+decide which occurrence is first.  Texts are shuffled once, by
 document.  Frequent paths and anchors are pre-aggregated before any shuffle;
 occurrences within a document are settled in place.
 
@@ -31,6 +36,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+from functools import cached_property
 from itertools import compress
 
 import numpy as np
@@ -38,18 +44,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillan.operators.numbering import numbered
+
+from .common import cut, shared_dir
 from .textkernel import mix64, ngram_hashes, run_starts, slices
 
 
 class Paths:
-    """The paths of a slice: row, first word (in the slice), edges, anchor, content hash; and all edge hashes."""
+    """The paths of a slice: row, first word (in the slice), number of edges, anchor.
+
+    Anchors come from one hash of each word; ``edges`` and ``content``, made
+    when asked for, from an independent one.
+    """
 
     def __init__(self, words, window: int, anchor: int):
-        h = words.hashes()
         self.words, self.window = words, window
-        self.edges = ngram_hashes(h, window)
         ok = run_starts(words, window)
-        value = ngram_hashes(h, anchor)
+        value = ngram_hashes(words.hashes(), anchor)
         at = np.arange(len(value))
         # Leftmost least anchor among window - anchor + 1 places, by doubling.
         width, span = 1, window - anchor + 1
@@ -69,23 +80,34 @@ class Paths:
         run = np.cumsum(start) - 1
         self.size = np.bincount(run[ok], minlength=len(self.start)) if len(self.start) else np.zeros(0, np.int64)
         self.anchor = value[self.start]
+        self.row = words.rows()[self.start] if len(self.start) else np.zeros(0, np.int64)
+
+    @cached_property
+    def edges(self) -> np.ndarray:
+        """A hash of each run of ``window`` words of the slice."""
+        return ngram_hashes(self.words.hashes(1), self.window)
+
+    @cached_property
+    def content(self) -> np.ndarray:
+        """A hash of each path's words: its first and last edge and their distance hold all of them."""
         last = self.start + self.size - 1
         with np.errstate(over="ignore"):
-            self.content = mix64(self.edges[self.start] * np.uint64(0x9FB21C651E98DF25) + (self.edges[last] ^ self.size.astype(np.uint64)))
-        self.row = words.rows()[self.start] if len(self.start) else np.zeros(0, np.int64)
+            return mix64(self.edges[self.start] * np.uint64(0x9FB21C651E98DF25) + (self.edges[last] ^ self.size.astype(np.uint64)))
 
     def local(self) -> np.ndarray:
         """First word of each path counted from its row's first word."""
         return self.start - self.words.row_first[self.row]
 
     def first_here(self) -> np.ndarray:
-        """Mask of the paths that are the first with their content in their row."""
+        """For each path the first with its words in its row."""
         order = np.lexsort((self.start, self.content, self.anchor, self.row))
-        keep = np.ones(len(order), dtype=bool)
+        new = np.ones(len(order), dtype=bool)
         if len(order):
             a, c, r = self.anchor[order], self.content[order], self.row[order]
-            keep[order[1:]] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])
-        return keep
+            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])
+        first = np.empty(len(order), dtype=np.int64)
+        first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        return first
 
     def with_anchors(self, listed: pa.Array, first_row: int, rows: int) -> np.ndarray:
         """Mask of the paths whose anchor is in their row's list."""
@@ -120,16 +142,33 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # No id is null here; the condition makes every use read the texts alike, so that all share one exchange.
         return rows.select(F.col("doc_id").alias("d"), "t").where("d is not null")
     rows = rows.withColumn("th", F.xxhash64("t", F.hash("t")))
-    names = rows.select("doc_id", "th").distinct().orderBy(F.asc_nulls_last("doc_id"), "th")
-    numbered = names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("i long, h long, d long")
-    return rows.join(numbered, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("d", "doc_id", "t")
+    shared_dir(docs.sparkSession)
+    names = numbered(rows.select(F.col("doc_id").alias("i"), F.col("th").alias("h")).distinct().orderBy(F.asc_nulls_last("i"), "h"), "d")
+    return rows.join(names, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("d", "doc_id", "t")
+
+
+def maximal(row: np.ndarray, s: np.ndarray, n: np.ndarray, f: np.ndarray, o: np.ndarray, window: int):
+    """Runs of repeated paths whose sources follow each other too, as (row, start, end, source, source start) in words.
+
+    Paths have ``n`` edges from word ``s`` on and equal those from word ``o`` of document ``f``.
+    """
+    order = np.lexsort((s, row))
+    row, s, n, f, o = (x[order] for x in (row, s, n, f, o))
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (s[1:] > s[:-1] + n[:-1]) | (f[1:] != f[:-1]) | (o[1:] - s[1:] != o[:-1] - s[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(s))[: len(first)] - 1
+    return row[first], s[first], s[last] + n[last] + window - 1, f[first], o[first]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, anchor: int = 5) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept) for each row.
+    """(doc_id, n_words, n_removed, spans, repeats, kept) for each row.
 
     ``spans`` are the removed word ranges (start, end), ``kept`` is the text of
-    the other words, joined by one space.
+    the other words, joined by one space.  ``repeats`` are the compacted paths:
+    the longest runs (start, end, source, source_start) whose words are also
+    those from word ``source_start`` of the document ``source`` on; where ids
+    repeat, ``source`` is the document's number in the order of (id, text hash).
     """
     docs = _keyed(docs, id_col, text_col)
     texts = docs.select("d", "t")
@@ -155,17 +194,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     repeated = solid.select("t").mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
     # Copies of whole texts repeat throughout; only the first of them takes part in what follows.
     digests = solid.select("d", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit("copy"), "t").alias("h2"))
-    copied = digests.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last")
-    copies = digests.join(copied, ["h1", "h2"]).where("d <> first").select("d").distinct()
+    # Written first, so that the join with a large group of copies can be split.
+    copied = cut(digests.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last").select("h1", "h2", "first"))
+    copies = digests.join(copied, ["h1", "h2"]).where("d <> first").select("d", F.col("first").alias("copy")).distinct()
     named = solid.mapInArrow(name, "a long, d long").join(repeated, "a", "left_semi")
-    listed = named.groupBy("d").agg(F.collect_list("a").alias("anchors")).join(copies.select("d", F.lit(True).alias("copy")), "d", "left")
+    listed = named.groupBy("d").agg(F.collect_list("a").alias("anchors")).join(copies, "d", "left")
     whole = texts.join(listed, "d", "left")
 
     def emit_paths(batches):
         for b in batches:
             for at, to, w in slices(b.column("t")):
                 p = Paths(w, window, anchor)
-                k = np.flatnonzero(p.with_anchors(b.column("anchors"), at, to - at) & p.first_here())
+                k = np.flatnonzero(p.with_anchors(b.column("anchors"), at, to - at) & (p.first_here() == np.arange(len(p.start))))
                 yield pa.RecordBatch.from_arrays([_array(p.anchor[k]), _array(p.content[k]), b.column("d").take(pa.array(p.row[k] + at)), pa.array(p.local()[k].astype(np.int32)), pa.array(p.size[k].astype(np.int32))], ["a", "c", "d", "s", "n"])
 
     paths = whole.where("anchors is not null and copy is null").mapInArrow(emit_paths, "a long, c long, d long, s int, n int")
@@ -192,29 +232,41 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     edges = texts.join(asked, "d").mapInArrow(emit_edges, "a long, g long, d long, s int")
     # One row for each distinct path and edge: an edge's rows are at most its distinct neighbourhoods.
     edge_source = edges.groupBy("a", "g").agg(F.min(F.struct("d", "s")).alias("src"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    again = edges.join(edge_source, ["a", "g"]).where(F.struct("d", "s") != F.col("src")).select("d", "s", F.lit(1).alias("n"))
-    marks = paths.join(source.where("times > 1").select("a", "c", "src"), ["a", "c"]).where(F.struct("d", "s") != F.col("src")).select("d", "s", "n")
-    marks = marks.unionByName(again).groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("marks"))
+    again = edges.join(edge_source, ["a", "g"]).where(F.struct("d", "s") != F.col("src")).select("d", "s", F.lit(1).alias("n"), "src")
+    marks = paths.join(source.where("times > 1").select("a", "c", "src"), ["a", "c"]).where(F.struct("d", "s") != F.col("src")).select("d", "s", "n", "src")
+    marks = marks.unionByName(again).groupBy("d").agg(F.collect_list(F.struct("s", "n", F.col("src.d").alias("f"), F.col("src.s").alias("o"))).alias("marks"))
 
     def finish(batches):
         for b in batches:
-            n_words, n_removed, spans, kept = [], [], [], []
+            n_words, n_removed, spans, repeats, kept = [], [], [], [], []
             for at, to, w in slices(b.column("t")):
                 p = Paths(w, window, anchor)
                 gone = np.zeros(len(w) + 1, dtype=np.int64)
-                again = np.flatnonzero(p.with_anchors(b.column("anchors"), at, to - at) & ~p.first_here())
+                held, first = p.with_anchors(b.column("anchors"), at, to - at), p.first_here()
+                again = np.flatnonzero(held & (first != np.arange(len(first))))
                 np.add.at(gone, p.start[again], 1)
                 np.add.at(gone, p.start[again] + p.size[again] + window - 1, -1)
+                number = np.asarray(b.column("d").fill_null(-1))[at:to]
+                local = p.local()
+                runs = [(p.row[again], local[again], p.size[again], number[p.row[again]], local[first[again]])]
                 lists = b.column("marks").slice(at, to - at)
                 size = np.where(np.asarray(lists.is_valid()), np.diff(np.asarray(lists.offsets)), 0)
                 flat = lists.flatten()
                 if len(flat):
                     row = np.repeat(np.arange(to - at), size)
-                    first = np.asarray(flat.field("s")).astype(np.int64) + w.row_first[row]
-                    np.add.at(gone, first, 1)
-                    np.add.at(gone, first + np.asarray(flat.field("n")) + window - 1, -1)
+                    s, n, f, o = (np.asarray(flat.field(c)).astype(np.int64) for c in ("s", "n", "f", "o"))
+                    np.add.at(gone, s + w.row_first[row], 1)
+                    np.add.at(gone, s + w.row_first[row] + n + window - 1, -1)
+                    runs.append((row, s, n, f, o))
                 counts = w.counts()
-                copy = np.asarray(b.column("copy").slice(at, to - at).is_valid()) & (counts >= window)
+                source = b.column("copy").slice(at, to - at)
+                copy = np.asarray(source.is_valid()) & (counts >= window)
+                whole = np.flatnonzero(copy)
+                runs = [tuple(x[~copy[r[0]]] for x in r) for r in runs]
+                runs.append((whole, np.zeros(len(whole), np.int64), counts[whole] - window + 1, np.asarray(source.fill_null(-1))[whole], np.zeros(len(whole), np.int64)))
+                found = maximal(*[np.concatenate(x) for x in zip(*runs)], window)
+                border = np.searchsorted(found[0], np.arange(to - at + 1)).astype(np.int32)
+                repeats.append(pa.ListArray.from_arrays(pa.array(border), pa.StructArray.from_arrays([pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32)), pa.array(found[3]), pa.array(found[4].astype(np.int32))], ["start", "end", "source", "source_start"])))
                 stay = (np.cumsum(gone[:-1]) == 0) & ~np.repeat(copy, counts)
                 n_words.append(counts)
                 lost = np.concatenate(([0], np.cumsum(~stay)))[w.row_first]
@@ -231,8 +283,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                     kept.append(b" ".join(tokens).decode("utf-8", "replace"))
             cat = lambda x: pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), cat(n_words), cat(n_removed), pa.array(spans, kind), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+            if repeats:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), cat(n_words), cat(n_removed), pa.array(spans, kind), pa.concat_arrays(repeats), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "repeats", "kept"])
 
     last = docs.join(listed, "d", "left").join(marks, "d", "left")
-    last = last.select("doc_id" if "doc_id" in docs.columns else F.col("d").alias("doc_id"), "t", "anchors", "copy", "marks")
-    return last.mapInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
+    last = last.select(F.col("doc_id" if "doc_id" in docs.columns else "d").alias("doc_id"), "d", "t", "anchors", "copy", "marks")
+    return last.mapInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, repeats array<struct<start:int,end:int,source:long,source_start:int>>, kept string")

@@ -38,14 +38,15 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix64(steps + np.uint64(seed)) | np.uint64(1)
 
 
-_POWERS = constants(256, 11)
+#: byte multipliers of each family of word hashes
+_SEEDS = (11, 5_000_011)
+_POWERS = [constants(256, seed) for seed in _SEEDS]
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = constants(2 * n, 11)
-    return _POWERS
+def _powers(n: int, family: int) -> np.ndarray:
+    if n > len(_POWERS[family]):
+        _POWERS[family] = constants(2 * n, _SEEDS[family])
+    return _POWERS[family]
 
 
 class Words:
@@ -83,12 +84,12 @@ class Words:
         """Row of each word."""
         return np.repeat(np.arange(len(self.row_first) - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash for each word."""
+    def hashes(self, family: int = 0) -> np.ndarray:
+        """One 64-bit hash for each word; families are independent."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
         size = self.end - self.start
-        powers = _powers(int(size.max()))
+        powers = _powers(int(size.max()), family)
         at = np.flatnonzero(self._solid)
         within = at - np.repeat(self.start, size)
         with np.errstate(over="ignore"):

@@ -50,6 +50,37 @@ def test_against_brute_force(spark, seed):
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
 
 
+@pytest.mark.parametrize("seed", [1, 5])
+def test_sources_of_repeats(spark, seed):
+    """Words at the source coordinates are the same, lie earlier, and the repeats cover what is removed."""
+    rows = cases(seed)
+    words = {i: (t or "").split() for i, t, *_ in rows}
+    got = substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    for r in got:
+        gone = set()
+        for x in r["repeats"]:
+            assert (x["source"], x["source_start"]) < (r["doc_id"], x["start"])
+            own, n = words[r["doc_id"]][x["start"] : x["end"]], x["end"] - x["start"]
+            assert n >= 20 and own == words[x["source"]][x["source_start"] : x["source_start"] + n]
+            gone |= set(range(x["start"], x["end"]))
+        assert gone == {k for s in r["spans"] for k in range(s["start"], s["end"])}
+
+
+def test_a_long_repeat_is_one_run(spark):
+    """Only a path at an end of the run may have another source with the same words."""
+    rnd = random.Random(9)
+    word = lambda: "w" + str(rnd.randrange(10**6))
+    passage = [word() for _ in range(5000)]
+    texts = [[word() for _ in range(30)] + passage + [word() for _ in range(200_000)], passage[:2000], [word() for _ in range(7)] + passage + passage[100:400] + ["end"]]
+    rows = [(i + 1, " ".join(t), "x", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert [tuple(x) for x in got[2]["repeats"]] == [(0, 2000, 1, 30)]
+    runs = [tuple(x) for x in got[3]["repeats"]]
+    (long,) = [x for x in runs if x[1] - x[0] > 4900]
+    assert len(runs) <= 6 and long[2] == 1 and long[3] - 30 == long[0] - 7 and (runs[0][0], max(x[1] for x in runs)) == (7, 5307)
+    assert got[1]["n_removed"] == 0 and got[1]["n_words"] == 205_030 and got[3]["n_removed"] == 5300
+
+
 def test_other_window(spark):
     rows = cases(3)
     got = substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA), window=8, anchor=3).collect()
