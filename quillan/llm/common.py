@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillan.errors import FailedPrecondition
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one that ``spark.checkpoint.dir`` names; only where that is
-    unset (tests on one machine) a temporary folder is used.
+    unset on one machine (tests) a temporary folder is used.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillan-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise FailedPrecondition("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillan-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)
@@ -35,3 +48,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` gave."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
