@@ -4,7 +4,7 @@ A list holds (host, path) entries; an entry fits its host and every subdomain
 when the url's path starts with the entry's path, and the longest fitting
 entry decides.  Each url yields the finitely many entries that could fit it
 (host suffixes at label borders x prefixes of the path lengths that occur in
-the list).  These keys are tested against a blocked Bloom filter of the list
+the list, so at most labels x lengths keys for a url).  These keys are tested against a blocked Bloom filter of the list
 (eight 64-bit words a block, one bit in each word); what passes goes to a
 hash join with the list itself, which removes the false positives.
 
@@ -24,8 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
+#: a list of up to so many entries is broadcast
+BROADCAST_RULES = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -43,9 +47,9 @@ def _hashes(host: Column, path: Column) -> tuple[Column, Column]:
     return F.xxhash64(host, path), F.xxhash64(path, host)
 
 
-def build_filter(rules: DataFrame, max_filter_bytes: int) -> np.ndarray:
-    """The filter as an array of (blocks, 8) words, or-ed together on the executors."""
-    n = rules.count()
+def build_filter(rules: DataFrame, max_filter_bytes: int, n: int | None = None) -> np.ndarray:
+    """The filter of the n rules as an array of (blocks, 8) words, or-ed together on the executors."""
+    n = rules.count() if n is None else n
     blocks = 1
     while blocks * 512 < 16 * n and 2 * blocks * 64 <= max_filter_bytes:
         blocks *= 2
@@ -56,11 +60,12 @@ def build_filter(rules: DataFrame, max_filter_bytes: int) -> np.ndarray:
         .select(F.expr(f"h1 & {blocks - 1}L").alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
         .groupBy("block")
         .agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-        .collect()
+        .toArrow()
     )
     out = np.zeros((blocks, WORDS), dtype=np.int64)
-    for r in rows:
-        out[r["block"]] = [r[f"w{i}"] for i in range(WORDS)]
+    own = np.asarray(rows["block"].combine_chunks())
+    for i in range(WORDS):
+        out[own, i] = np.asarray(rows[f"w{i}"].combine_chunks())
     return out.view(np.uint64)
 
 
@@ -82,7 +87,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy("r_host", "r_path")
         .agg(F.max("r_verdict").alias("r_verdict"))
     )
-    words = spark.sparkContext.broadcast(build_filter(rules, max_filter_bytes))
+    total = rules.count()
+    words = spark.sparkContext.broadcast(build_filter(rules, max_filter_bytes, total))
     # Path lengths are bounded by the longest path of the list, so this is a short list of numbers.
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -116,6 +122,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     possible = keyed.mapInArrow(probe, "host string, path string, r_host string, r_path string")
     size = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.concat("r_host", "r_path"), "r_verdict")
-    best = possible.join(rules, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max(size).alias("best"))
-    best = best.select("host", "path", F.col("best").getField("col3").alias("rule"), F.col("best").getField("r_verdict").alias("ruled"))
+    # A hash join either way; a list of checked size goes to the executors whole.
+    listed = F.broadcast(rules) if total <= BROADCAST_RULES else rules.hint("shuffle_hash")
+    best = possible.join(listed, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max(size).alias("best"))
+    # Written first, so that the join with a url of very many pages can be split.
+    best = cut(best.select("host", "path", F.col("best").getField("col3").alias("rule"), F.col("best").getField("r_verdict").alias("ruled")))
     return judged.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))

@@ -1,3 +1,5 @@
+import pytest
+
 from quillan.llm import url_filter
 
 RULES = [("com", "/", "allow"), ("a.com", "/x", "block"), ("b.a.com", "/x/", "allow"), ("net", "", "block"), ("net", "", "allow"), (None, "/", "block")]
@@ -21,7 +23,9 @@ def brute(url):
     return (host, path, best[0] if best else None, best[1] if best else "allow")
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string")
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(pages, rules).collect()}
