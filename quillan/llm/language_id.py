@@ -10,7 +10,8 @@ score is one less the distance as a share of the largest possible one.
 Training uses at most about ``sample`` labelled documents of each language,
 chosen by a hash of their ids at a rate that follows from the language's
 count; the profiles are languages x size rows, which is what the driver
-holds.  Prediction reads whole texts and needs no shuffle.
+holds.  Prediction reads whole texts and needs no shuffle.  N-grams are named
+by hashes of 24 bits; two that collide count as one.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text when nothing could be learned; repeated rows are judged alike;
@@ -26,8 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 ORDERS, BITS = 3, 24
 SLICE_ROWS, SLICE_BYTES = 256, 2_000_000
+assert SLICE_ROWS << BITS <= 1 << 32  # a row's number and an n-gram share 32 bits
 NEW = ("lang_pred", "score")
 
 _letter = np.zeros(0x110000, dtype=np.uint32)
@@ -163,12 +167,13 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
     keep = [c for c in (docs.columns if keep is None else keep) if c not in NEW]
     judge = Judge(profiles, size)
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name in keep]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_col).alias("__text"))
+    held = free_name(docs, "__text")
+    source = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_col).alias(held))
 
     def run(batches):
         for b in batches:
             names, scores = [], [np.zeros(0)]
-            for at, to, c, r in _slices(b.column("__text")):
+            for at, to, c, r in _slices(b.column(held)):
                 n, s = judge(c, r, to - at)
                 names += n
                 scores.append(s)

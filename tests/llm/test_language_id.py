@@ -49,3 +49,8 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     right, n = got.join(docs, "doc_id").agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("lang")).first()
     assert n > 200 and right / n > 0.98
+
+
+def test_a_column_named_like_the_helper(spark):
+    df = spark.createDataFrame([(1, "eins zwei drei", "x")], "doc_id long, text string, __text string")
+    assert language_id.identify(df, {}).first().asDict() == {"doc_id": 1, "text": "eins zwei drei", "__text": "x", "lang_pred": "und", "score": 0.0}
