@@ -7,9 +7,10 @@ permitted length (the least-cost length that holds the piece, but no less
 than the tried one), all bins are then downsized to the shortest length that
 holds their contents, and the plan with the least total cost is kept.
 
-Packing runs inside each input partition, in blocks of ``block`` pieces, so
-nothing is shuffled and memory is bounded whatever the skew; every block
-leaves at most a few bins open.  Only lengths go through Python.
+Documents are dealt into blocks of about ``block`` pieces by a hash of id and
+text, so bins depend neither on the files nor on the partitions that the rows
+come from; memory is bounded whatever the skew, and every block leaves at most
+a few bins open.  Only ids and lengths are shuffled and go through Python.
 
 Cases: texts longer than the largest length are cut into pieces of that
 length; null and empty texts have no piece and appear once with a null bin;
@@ -22,10 +23,11 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SCHEMA = "doc_id long, piece int, start long, n_tokens long, bin_id long, bin_length int, bin_used int, slot int, offset int"
 
@@ -77,46 +79,61 @@ def pack_block(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, block: int = 32768, overhead: int = 16, tokens=estimated_tokens) -> DataFrame:
     """One row for each piece of a document with its bin, slot and offset there.
 
-    ``bin_id`` is unique: the partition's number and a running number.
+    ``bin_id`` is unique: the block's number and a running number.
     """
     top = max(lengths)
 
-    def rows(doc, piece, start, size, base, pid):
+    def rows(doc, piece, start, size, base, blk):
         bins, used, final = pack_block(size, lengths, overhead)
         order = np.lexsort((np.arange(len(size)), bins))
         b = bins[order]
         first = np.searchsorted(b, b)
         ends = np.cumsum(size[order])
         offset = ends - size[order] - (ends - size[order])[first]
-        columns = [doc.take(pa.array(order)), piece[order].astype(np.int32), start[order], size[order], (pid << 36) + base + b, final[b].astype(np.int32), used[b].astype(np.int32), (np.arange(len(b)) - first).astype(np.int32), offset.astype(np.int32)]
+        columns = [doc.take(pa.array(order)), piece[order].astype(np.int32), start[order], size[order], (blk << 36) + base + b, final[b].astype(np.int32), used[b].astype(np.int32), (np.arange(len(b)) - first).astype(np.int32), offset.astype(np.int32)]
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], NAMES), len(used)
 
     NAMES = ["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_length", "bin_used", "slot", "offset"]
 
     def run(batches):
-        pid, base = TaskContext.get().partitionId(), 0
-        held, count = [], 0
+        held, count, base, now = [], 0, 0, None
         for b in batches:
-            n = np.asarray(b.column("n"))
-            none = np.flatnonzero(n == 0)
-            if len(none):
-                ids = b.column("i").take(pa.array(none))
-                blank = lambda t: pa.nulls(len(none), t)  # noqa: E731, B023
-                zero = np.zeros(len(none), np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(zero), blank(pa.int64()), *[blank(pa.int32())] * 4], NAMES)
-            pieces = -(-n // top)
-            row = np.repeat(np.arange(len(n)), pieces)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            size = np.minimum(top, n[row] - piece * top)
-            for at in range(0, len(row), block):
-                held.append((b.column("i").take(pa.array(row[at : at + block])), piece[at : at + block], piece[at : at + block] * top, size[at : at + block]))
-                count += len(held[-1][1])
-                if count >= block:
-                    out, opened = rows(pa.concat_arrays([h[0] for h in held]), *[np.concatenate([h[k] for h in held]) for k in (1, 2, 3)], base, pid)
-                    held, count, base = [], 0, base + opened
-                    yield out
+            blk = np.asarray(b.column("blk"))
+            border = np.flatnonzero(np.concatenate(([True], blk[1:] != blk[:-1]))) if len(blk) else np.zeros(0, np.int64)
+            for lo, hi in zip(border, np.append(border[1:], len(blk))):
+                if now is not None and now != blk[lo]:
+                    yield flush(held, base, now)[0]
+                    held, count, base = [], 0, 0
+                now = int(blk[lo])
+                n = np.asarray(b.column("n"))[lo:hi]
+                pieces = -(-n // top)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                size = np.minimum(top, n[row] - piece * top)
+                at = 0
+                while at < len(row):
+                    to = at + min(block - count, len(row) - at)
+                    held.append((b.column("i").take(pa.array(lo + row[at:to])), piece[at:to], piece[at:to] * top, size[at:to]))
+                    count, at = count + to - at, to
+                    if count >= block:
+                        out, opened = flush(held, base, now)
+                        held, count, base = [], 0, base + opened
+                        yield out
         if held:
-            yield rows(pa.concat_arrays([h[0] for h in held]), *[np.concatenate([h[k] for h in held]) for k in (1, 2, 3)], base, pid)[0]
-
-    lengths_of = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(tokens(F.col(text_col)), F.lit(0)).cast("long").alias("n"))
-    return lengths_of.mapInArrow(run, SCHEMA)
+            yield flush(held, base, now)[0]
+
+    def flush(held, base, blk):
+        if not held:
+            return rows(pa.array([], pa.int64()), *[np.zeros(0, np.int64)] * 3, base, blk)
+        return rows(pa.concat_arrays([h[0] for h in held]), *[np.concatenate([h[k] for h in held]) for k in (1, 2, 3)], base, blk)
+
+    text = F.col(text_col)
+    lengths_of = cut(docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(tokens(text), F.lit(0)).cast("long").alias("n"), F.xxhash64(F.col(id_col), text).alias("h")))
+    solid = lengths_of.where("n > 0")
+    pieces = solid.agg(F.coalesce(F.sum(F.ceil(F.col("n") / top)), F.lit(0))).first()[0]
+    blocks = max(1, -(-pieces // block))
+    dealt = solid.withColumn("blk", F.pmod("h", F.lit(blocks))).repartition(blocks, "blk").sortWithinPartitions("blk", "h", "i", "n")
+    packed = dealt.select("blk", "i", "n").mapInArrow(run, SCHEMA)
+    none = {"doc_id": F.col("i"), "piece": F.lit(0), "start": F.lit(0), "n_tokens": F.col("n")}
+    empty = [none.get(f.split()[0], F.lit(None)).cast(f.split()[1]).alias(f.split()[0]) for f in SCHEMA.split(", ")]
+    return packed.unionByName(lengths_of.where("n = 0").select(*empty))

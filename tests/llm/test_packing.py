@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,6 +23,40 @@ def test_joint_choice_beats_or_matches_each_single_length():
     assert cost((16, 32, 64)) <= cost((64,))
 
 
+def optimal(sizes, lengths, overhead):
+    """Least cost over all ways to put the pieces together."""
+    best = [10**9]
+
+    def place(k, bins, cost=0):
+        if k == len(sizes):
+            best[0] = min(best[0], sum(min(c for c in lengths if c >= b) + overhead for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + sizes[k] <= max(lengths):
+                place(k + 1, bins[:i] + [bins[i] + sizes[k]] + bins[i + 1 :])
+        place(k + 1, bins + [sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_cost_is_near_the_least_possible():
+    rnd = random.Random(3)
+    lengths, ratio = (16, 32, 64), []
+    for _ in range(150):
+        sizes = [rnd.randrange(1, 65) for _ in range(rnd.randrange(1, 8))]
+        _, _, final = packing.pack_block(np.array(sizes), lengths, 4)
+        ratio.append((final.sum() + 4 * len(final)) / optimal(sizes, lengths, 4))
+        assert 1 <= ratio[-1] <= 1.5
+    assert sum(ratio) / len(ratio) < 1.05
+
+
+def test_bins_do_not_depend_on_the_layout(spark):
+    df = spark.createDataFrame([(i % 700, "x" * (4 * (i * 7 % 300)), None) for i in range(900)], "doc_id long, text string, bin_id string")
+    one, many = (sorted(map(str, packing.pack(df.repartition(n), lengths=(64, 256), block=120).collect())) for n in (1, 9))
+    assert one == many
+
+
 def test_rows(spark):
     schema = "doc_id long, text string, bin_id string"
     rows = [(i, "x" * (4 * (i % 50)), None) for i in range(500)] + [(600, "y" * 4 * 1000, None), (601, None, None), (None, "z", None), (5, "x" * 20, None)]
