@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .textkernel import HashSet, Words, mix64, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -204,6 +205,7 @@ def _every(text: str, spans: list, terms: HashSet) -> list[tuple[int, int, int]]
 
 def _judge_every(docs: DataFrame, text_col: str, schema, emit, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
     """As ``_judge``, with the disclosing terms of all entities in every text."""
+    k_name, terms_name = free_name(docs, "__k"), free_name(docs, "__terms")
     terms = pairs.select("t").distinct()
     few = terms.limit(broadcast_rows + 1).toArrow()
     shared, source = None, docs
@@ -216,12 +218,12 @@ def _judge_every(docs: DataFrame, text_col: str, schema, emit, pairs: DataFrame,
             for b in batches:
                 for at, _, w in slices(b.column("t"), lower=True, punct=True):
                     key = np.asarray(b.column("k"))[at + w.rows()]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(w.hashes().view(np.int64))], ["__k", "t"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(w.hashes().view(np.int64))], ["k", "t"])
 
         key = text_key(text_col)
-        held = docs.select(key.alias("k"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(words, "__k long, t long").distinct()
-        held = held.join(terms, "t").groupBy("__k").agg(F.collect_list("t").alias("__terms"))
-        source = docs.withColumn("__k", key).join(held, "__k", "left").drop("__k")
+        held = docs.select(key.alias("k"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(words, "k long, t long").distinct()
+        held = held.join(terms, "t").groupBy(F.col("k").alias(k_name)).agg(F.collect_list("t").alias(terms_name))
+        source = docs.withColumn(k_name, key).join(held, k_name, "left").drop(k_name)
 
     def run(batches):
         for b in batches:
@@ -231,7 +233,7 @@ def _judge_every(docs: DataFrame, text_col: str, schema, emit, pairs: DataFrame,
                 hit = [at + w.rows()[shared.value.find(w.hashes())[0]] for at, _, w in slices(texts, lower=True, punct=True)]
                 rows = np.unique(np.concatenate(hit)).tolist() if hit else []
             else:
-                own = b.column("__terms")
+                own = b.column(terms_name)
                 rows = [i for i in range(b.num_rows) if own[i].is_valid]
             for i in rows:
                 spans = found[i][0] if i in found else []
@@ -259,6 +261,7 @@ def _judge(docs: DataFrame, text_col: str, schema, emit, settings: dict) -> Data
         source = docs
     else:
         shared = None
+        k_name, pairs_name = free_name(docs, "__k"), free_name(docs, "__pairs")
         key = text_key(text_col)
 
         def named(batches):
@@ -268,11 +271,11 @@ def _judge(docs: DataFrame, text_col: str, schema, emit, settings: dict) -> Data
                     own = {entity(kind, text[s:t]) for kind, s, t in spans}
                     k += [b.column("k")[i].as_py()] * len(own)
                     e += own
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(e, pa.int64())], ["__k", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(e, pa.int64())], ["k", "e"])
 
-        texts = docs.select(key.alias("k"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(named, "__k long, e long").distinct()
-        own = texts.join(pairs, "e").groupBy("__k").agg(F.collect_list(F.struct("e", "t")).alias("__pairs"))
-        source = docs.withColumn("__k", key).join(own, "__k", "left").drop("__k")
+        texts = docs.select(key.alias("k"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(named, "k long, e long").distinct()
+        own = texts.join(pairs, "e").groupBy(F.col("k").alias(k_name)).agg(F.collect_list(F.struct("e", "t")).alias(pairs_name))
+        source = docs.withColumn(k_name, key).join(own, k_name, "left").drop(k_name)
 
     def run(batches):
         for b in batches:
@@ -283,7 +286,7 @@ def _judge(docs: DataFrame, text_col: str, schema, emit, settings: dict) -> Data
                     e, t = shared.value
                     terms = [t[np.searchsorted(e, x, "left") : np.searchsorted(e, x, "right")] for x in own]
                 else:
-                    terms = [np.array([p["t"] for p in b.column("__pairs")[i].as_py() or []], np.int64).view(np.uint64)]
+                    terms = [np.array([p["t"] for p in b.column(pairs_name)[i].as_py() or []], np.int64).view(np.uint64)]
                 terms = np.concatenate(terms)
                 found[i] = (spans, _every(text, spans, HashSet(terms)) if len(terms) else spans)
             yield emit(b, found)

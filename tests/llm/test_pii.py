@@ -151,3 +151,11 @@ def test_many_mentions_in_one_text(spark):
     text = " ".join(f"a{i} u{i % 9}@x.org" for i in range(40000))
     (got,) = pii.find(spark.createDataFrame([(1, text, None)], SCHEMA)).collect()
     assert got["n_email"] == 40000
+
+
+def test_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(i, f"mail jo@x.org of Zeppelin plan{i}", i, i, i) for i in range(8)], "__k int, text string, __terms int, __pairs int, t int")
+    for limit in (1 << 20, 0):
+        for everywhere in (True, False):
+            out = pii.redact(df, everywhere=everywhere, broadcast_rows=limit, bits=0.0)
+            assert out.columns == df.columns and [tuple(r)[::2] for r in out.orderBy("t").collect()] == [(i, i, i) for i in range(8)]
