@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage works on all that its predecessor kept; between stages the rows are
-written as Parquet to the folder that the cluster shares.
+written as Parquet to the folder that the cluster shares; a stage's files go when
+the next one's are written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillan.llm import stages
-from quillan.llm.common import stored, table
+from quillan.llm.common import remove, stored, table
 
 STAGES = [
     ("language", stages.language),
@@ -25,7 +26,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            remove(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
