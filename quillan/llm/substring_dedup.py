@@ -208,8 +208,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 k = np.flatnonzero(p.with_anchors(b.column("anchors"), at, to - at) & (p.first_here() == np.arange(len(p.start))))
                 yield pa.RecordBatch.from_arrays([_array(p.anchor[k]), _array(p.content[k]), b.column("d").take(pa.array(p.row[k] + at)), pa.array(p.local()[k].astype(np.int32)), pa.array(p.size[k].astype(np.int32))], ["a", "c", "d", "s", "n"])
 
-    paths = whole.where("anchors is not null and copy is null").mapInArrow(emit_paths, "a long, c long, d long, s int, n int")
-    # The condition is always true; it keeps both columns in each use, so that all uses share one exchange.
+    paths = whole.where("anchors is not null and copy is null").mapInArrow(emit_paths, "a long, c long, d long, s int, n int").where("a is not null and c is not null and d is not null")
+    # These conditions are always true; they make each use read the same columns and rows, so that all share one exchange.
     source = paths.groupBy("a", "c").agg(F.min(F.struct("d", "s")).alias("src"), F.count(F.lit(1)).alias("times")).where("times > 0 and src is not null")
 
     # Branching anchors: their paths' first occurrences are expanded to edges.
