@@ -35,6 +35,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 START, END = "<|im_start|>", "<|im_end|>"
 _FIRST_CHUNK, _LAST_PART = -(2**62), 2**62
 
@@ -98,6 +100,8 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 512, chu
         .withColumn("part", F.when(F.col("span") * F.col("stride") - F.col("back") > F.col("allowed"), F.col("ord")).otherwise(F.lit(_LAST_PART)))
         .withColumn("is_sys", F.coalesce(F.struct("turn", "role", "text", "tok").eqNullSafe(F.col("sys")), F.lit(False)))
     )
+    keep = ["conv_id", "turn", "role", "text", "tok", "sys", "is_sys", "ord", "start", "end", "back", "span", "part", "room", "allowed", "stride"]
+    rows = cut(rows.select(*keep))
     # Where each window's repeated turns may start; a window only meets turns of its own span and those within the room before it.
     least = F.greatest(F.max("end") - F.max("room"), F.least(F.min("start") - F.max("allowed"), F.min("back")))
     borders = rows.groupBy("conv_id", "span", "part").agg(least.alias("least"), F.min("ord").alias("first"))
