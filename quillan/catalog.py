@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillan.functions import bits, distance, quantize
 from quillan.functions import vectors as vec
 from quillan.functions.distance import Measure
-from quillan.operators import diversify, filters, knn, sampling, statistics
+from quillan.operators import diversify, filters, knn, sampling, sets, statistics
 from quillan.schema import DOUBLES
 from quillan.plans import gmm, index, kmeans, partitioned, pq, projections
 from quillan.streaming import mutations
@@ -21,6 +21,8 @@ from quillan.streaming import mutations
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 K, EVERY, DIM, SUB = 10, 50, 64, 8
+#: of the ten labels' partitions; recall is over 0.9
+PROBES = 8
 WIDTH = DIM // SUB
 
 
@@ -155,7 +157,7 @@ def measures(spark, sf_dir):
     """One-to-one measures as column expressions."""
     rows = embeddings(spark, sf_dir)
     q = asked(rows).select(F.col("id").alias("qid"), F.col("vec").alias("w"))
-    both = q.join(rows)
+    both = knn.paired(rows, q)
     d = lambda m: distance.distance(m, F.col("w"), F.col("vec"), True)
     return both.select("qid", "id", six(d("l1")).alias("l1"), six(d("l2")).alias("l2"), six(d("squared_l2")).alias("sql2"), six(d("dot")).alias("dot"), six(d("cosine")).alias("cosine"), d("hamming").alias("hamming"), d("non_zero_intersect").alias("nzi"), six(d("dice")).alias("dice"))
 
@@ -175,7 +177,7 @@ round(CASE WHEN list_sum(w) = 0 OR list_sum(v) = 0 THEN 1.0 ELSE 1 - list_inner_
 def sparse_measures(spark, sf_dir):
     """Set and sparse measures on structs of indices and values."""
     rows = embeddings(spark, sf_dir).select("id", vec.to_sparse(F.transform("vec", lambda x: F.when(x > 0.1, x).otherwise(0.0))).alias("s"))
-    both = asked(rows).select(F.col("id").alias("qid"), F.col("s").alias("a")).join(rows.withColumnRenamed("s", "b"))
+    both = knn.paired(rows.withColumnRenamed("s", "b"), asked(rows).select(F.col("id").alias("qid"), F.col("s").alias("a")))
     d = lambda m: six(distance.sparse_distance(m, F.col("a"), F.col("b")))
     return both.select("qid", "id", d("jaccard").alias("jaccard"), d("dice").alias("dice"), six(distance.overlap_coefficient(F.col("a.indices"), F.col("b.indices"))).alias("overlap"), d("non_zero_intersect").alias("nzi"), six(distance.weighted_jaccard(F.col("a"), F.col("b"))).alias("wjaccard"), d("l1").alias("l1"), d("squared_l2").alias("sql2"), d("dot").alias("dot"), d("cosine").alias("cosine"))
 
@@ -216,18 +218,19 @@ def knn_allowlist(spark, sf_dir):
     return found(knn.nearest(rows, asked(rows), K, allowed=ids))
 
 
-@query(knn_sql(DIST["squared_l2"], "id < 450 AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
+@query(knn_sql(DIST["squared_l2"], "id < (SELECT max(id) - 9 FROM e) AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def knn_denylist(spark, sf_dir):
-    """Ids beyond the list's capacity are denied too."""
+    """Ids beyond the list's capacity, here the last ten, are denied too."""
     rows = embeddings(spark, sf_dir)
     ids = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    return found(knn.nearest(filters.deny(rows, ids, capacity=450), asked(rows), K))
+    return found(knn.nearest(filters.deny(rows, ids, capacity=rows.agg(F.max("id")).first()[0] - 9), asked(rows), K))
 
 
-@query("SELECT (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1 AND doc_id < 450) AS allowed, 450 - (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1 AND doc_id < 450) AS not_denied")
+@query("WITH c AS (SELECT max(doc_id) - 9 AS c FROM documents) SELECT (SELECT count(DISTINCT doc_id) FROM labels, c WHERE quality = 1 AND doc_id < c) AS allowed, (SELECT any_value(c) FROM c) - (SELECT count(DISTINCT doc_id) FROM labels, c WHERE toxic = 1 AND doc_id < c) AS not_denied")
 def list_sizes(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
-    return filters.count_allowed(labels.where("quality = 1"), 450).withColumnRenamed("n", "allowed").join(filters.count_not_denied(labels.where("toxic = 1"), 450).withColumnRenamed("n", "not_denied"))
+    capacity = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] - 9
+    return filters.count_allowed(labels.where("quality = 1"), capacity).withColumnRenamed("n", "allowed").join(filters.count_not_denied(labels.where("toxic = 1"), capacity).withColumnRenamed("n", "not_denied"))
 
 
 @query(knn_sql(DIST["squared_l2"], "label IN (1, 4, 77)"))
@@ -356,15 +359,15 @@ def assign_clusters(spark, sf_dir):
 
 
 _IVF = f"""WITH {E}, {_CENT}, {_NEAR}, m AS (SELECT id, v, p FROM o WHERE n = 1),
-t AS (SELECT id AS qid, v AS w, p FROM o WHERE n <= 3 AND id % {EVERY} = 0)"""
+t AS (SELECT id AS qid, v AS w, p FROM o WHERE n <= {PROBES} AND id % {EVERY} = 0)"""
 
 
 @query(f"{_IVF}, s AS (SELECT qid, id, {DIST['squared_l2']} AS d FROM t JOIN m ON m.p = t.p), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM s) SELECT qid, id, round(d, 6) + 0.0 AS dist, rank::int AS rank FROM r WHERE rank <= {K}")
 def ivf_knn(spark, sf_dir):
-    """Search of the three nearest of the labels' partitions."""
+    """Search of the eight nearest of the labels' partitions."""
     rows = embeddings(spark, sf_dir)
     c = _label_centers(rows)
-    return found(partitioned.search(partitioned.tokenize(rows, c), c.table(spark), asked(rows), K, 3))
+    return found(partitioned.search(partitioned.tokenize(rows, c), c.table(spark), asked(rows), K, PROBES))
 
 
 @query(f"{_IVF}, n AS (SELECT p, count(*) AS size FROM m GROUP BY p), z AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i FROM ce) SELECT t.qid, z.i::int AS partition_id, size FROM t JOIN z ON z.p = t.p LEFT JOIN n ON n.p = t.p")
@@ -373,7 +376,7 @@ def route_queries(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
     c = _label_centers(rows)
     sizes = partitioned.sizes(partitioned.tokenize(rows, c))
-    return partitioned.route(asked(rows), c.table(spark), 3, sizes).select("qid", "partition_id", "size")
+    return partitioned.route(asked(rows), c.table(spark), PROBES, sizes).select("qid", "partition_id", "size")
 
 
 @query(f"""{_IVF}, s AS (SELECT qid, id, {DIST['squared_l2']} AS d FROM t JOIN m ON m.p = t.p), f AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS n FROM s) WHERE n <= {K}),
@@ -383,11 +386,13 @@ def recall_at_10(spark, sf_dir):
     """Recall of that search against the exact one."""
     rows = embeddings(spark, sf_dir)
     c = _label_centers(rows)
-    got = partitioned.search(partitioned.tokenize(rows, c), c.table(spark), asked(rows), K, 3)
+    got = partitioned.search(partitioned.tokenize(rows, c), c.table(spark), asked(rows), K, PROBES)
     return statistics.recall(got, knn.nearest(rows, asked(rows), K), K).select(six("recall").alias("recall"))
 
 
-_BOOK = f"bk AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS code, v[s * {WIDTH} + 1:s * {WIDTH} + {WIDTH}] AS c FROM e, range(0, {SUB}) AS t(s) WHERE id % {EVERY} = 0)"
+#: a code is one byte
+CODES = 256
+_BOOK = f"bk AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS code, v[s * {WIDTH} + 1:s * {WIDTH} + {WIDTH}] AS c FROM e, range(0, {SUB}) AS t(s) WHERE id % {EVERY} = 0 QUALIFY code < {CODES})"
 _SUBDIST = over("({a} - {b}) * ({a} - {b})", "x", "c")
 _PQ = f"""{_BOOK}, sl AS (SELECT id, s, v[s * {WIDTH} + 1:s * {WIDTH} + {WIDTH}] AS x FROM e, range(0, {SUB}) AS t(s)),
 d AS (SELECT id, sl.s, code, {_SUBDIST} AS d FROM sl JOIN bk ON bk.s = sl.s), pc AS (SELECT id, s, code FROM (SELECT *, row_number() OVER (PARTITION BY id, s ORDER BY d, code) AS n FROM d) WHERE n = 1)"""
@@ -395,8 +400,8 @@ _ADC = f"ad AS (SELECT d.id AS qid, pc.id, sum(d.d) AS d FROM d JOIN pc ON pc.s
 
 
 def _book(rows: DataFrame) -> pq.Codebook:
-    """The query vectors' slices as centroids, at most 256 of them."""
-    own = asked(rows).orderBy("id").limit(256).collect()
+    """The first query vectors' slices as centroids, one for each code."""
+    own = asked(rows).orderBy("id").limit(CODES).collect()
     m = np.array([r["vec"] for r in own])
     return pq.Codebook(tuple(m[:, s * WIDTH : (s + 1) * WIDTH] for s in range(SUB)))
 
@@ -434,34 +439,33 @@ def adc_rerank(spark, sf_dir):
     return found(knn.rerank(got, rows, asked(rows), K))
 
 
-@query(f"WITH {E}, {_PQ}, {_ADC} SELECT qid, id, round(d, 6) AS dist, round(d, 6) AS packed, 4 AS n_bytes FROM ad")
+@query(f"WITH {E}, {_PQ}, {_ADC} SELECT qid, id, round(d, 6) AS dist FROM ad")
 def adc_expressions(spark, sf_dir):
-    """The same distances as column expressions, from codes and from packed 4-bit codes."""
+    """The same distances as column expressions."""
     rows = embeddings(spark, sf_dir)
     book = _book(rows)
-    book = pq.Codebook(tuple(c[:16] for c in book.parts)) if max(map(len, book.parts)) <= 16 else book
-    coded = pq.encode(rows, book).select("id", "codes")
-    both = pq.with_tables(asked(rows), book).select(F.col("id").alias("qid"), "lut").join(coded)
-    narrow = max(map(len, book.parts)) <= 16
-    packed = pq.adc_packed(pq.pack4(F.col("codes")), F.col("lut")) if narrow else pq.adc(F.col("codes"), F.col("lut"))
-    return both.select("qid", "id", six(pq.adc(F.col("codes"), F.col("lut"))).alias("dist"), six(packed).alias("packed"), (F.octet_length(pq.pack4(F.col("codes")))).alias("n_bytes"))
+    both = knn.paired(pq.encode(rows, book).select("id", "codes"), pq.with_tables(asked(rows), book).select(F.col("id").alias("qid"), "lut"))
+    return both.select("qid", "id", six(pq.adc(F.col("codes"), F.col("lut"))).alias("dist"))
 
 
-@query()
-def adc_int8_ranks(spark, sf_dir):
-    """Distances through 8-bit tables, with how far they are off."""
+_PQ4 = _PQ.replace(f"< {CODES}", "< 16")
+
+
+@query(f"WITH {E}, {_PQ4}, {_ADC} SELECT qid, id, round(d, 6) AS packed, 4 AS n_bytes FROM ad")
+def adc_packed(spark, sf_dir):
+    """Distances from packed 4-bit codes of at most sixteen centroids a subspace."""
     rows = embeddings(spark, sf_dir)
-    book = _book(rows)
-    both = pq.with_tables(asked(rows), book).select(F.col("id").alias("qid"), "lut", pq.to_int8(F.col("lut")).alias("lut8")).join(pq.encode(rows, book).select("id", "codes"))
-    exact, coarse = pq.adc(F.col("codes"), F.col("lut")), pq.adc_int8(F.col("codes"), F.col("lut8"))
-    return both.select("qid", "id", six(coarse).alias("dist"), (F.abs(exact - coarse) <= SUB / F.col("lut8.scale")).alias("bounded"), pq.adc_int8_raw(F.col("codes"), F.col("lut8")).alias("raw"))
+    book = pq.Codebook(tuple(c[:16] for c in _book(rows).parts))
+    coded = pq.encode(rows, book).select("id", pq.pack4(F.col("codes")).alias("packed"))
+    both = knn.paired(coded, pq.with_tables(asked(rows), book).select(F.col("id").alias("qid"), "lut"))
+    return both.select("qid", "id", six(pq.adc_packed(F.col("packed"), F.col("lut"))).alias("packed"), F.octet_length("packed").alias("n_bytes"))
 
 
 @query()
 def hybrid_knn(spark, sf_dir):
-    """Partitions, residual codes and exact re-ranking, with fitted models."""
+    """Partitions, residual codes and exact re-ranking, with fitted models; recall is over 0.9."""
     rows = embeddings(spark, sf_dir)
-    built = index.Config().tree(20, 5).hash(8, 64).reorder(50).build(rows)
+    built = index.Config().tree(20, 16).hash(16, 64).reorder(300).build(rows)
     return found(built.search(asked(rows), K))
 
 
@@ -574,9 +578,7 @@ def token_jaccard(spark, sf_dir):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words(F.col("text")).alias("ws"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("ws"))
-    flat = lambda df, k, n: df.select(k, F.size("ws").alias(n), F.explode("ws").alias("w"))
-    shared = flat(docs, "id", "n").join(flat(items, "qid", "m"), "w").groupBy("qid", "id", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    return found(knn.ranked(shared.select("qid", "id", (1 - F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("dist")), K))
+    return found(sets.nearest(docs, items, K))
 
 
 @query("""WITH x AS (SELECT event_id AS id, event_id AS x, user_id AS y FROM events)

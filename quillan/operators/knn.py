@@ -1,10 +1,12 @@
 """Exact nearest-neighbour search: one query, batches, radius, all pairs.
 
 A batch is scored in blocks.  Queries are broadcast, at most
-``MAX_QUERY_BYTES`` at once (more are done in several passes), each task
-streams its part of the base table through matrix products, keeps k rows a
-query and passes on only those; the merge is a window over k rows a task and
-query.  The base table is never shuffled.  Products only select candidates,
+``MAX_QUERY_BYTES`` and ``MAX_QUERIES`` at once (more are done in several
+passes), each task streams its part of the base table through matrix products
+of at most ``CELLS`` distances, keeps k rows a query and passes on only those;
+the merge is a window over k rows a task and query.  The base table is never
+shuffled; lists of ids and candidates go to it while they have at most
+``MAX_CANDIDATES`` rows, beyond that they are joined by a shuffle.  Products only select candidates,
 with slack for rounding; distances are computed element by element.
 """
 
@@ -14,20 +16,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillan.errors import InvalidArgument
 from quillan.functions.distance import Measure, distance, matrix, pairs
 from quillan.functions.vectors import doubles
 
-MAX_QUERY_BYTES = 64 << 20
-STEP = 2048
+MAX_QUERY_BYTES, MAX_QUERIES = 64 << 20, 65_536
+STEP, CELLS = 2048, 4_000_000
+MAX_CANDIDATES = 1 << 20
 RESULT = "qid long, id long, dist double"
 
 
-def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): rows with an id and a vector without nulls."""
+def vectors(df: DataFrame, id_col: str, vec_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, vec, keep...): rows with an id and a vector without nulls."""
     v = doubles(F.col(vec_col))
-    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where("id is not null and vec is not null and not exists(vec, x -> x is null)")
+    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec"), *keep).where("id is not null and vec is not null and not exists(vec, x -> x is null)")
 
 
 def stack(column: pa.Array) -> np.ndarray:
@@ -36,9 +40,9 @@ def stack(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def dimension(df: DataFrame) -> int | None:
+def dimension(df: DataFrame, column: str = "vec") -> int | None:
     """Common length of the vectors; None for an empty table."""
-    low, high = df.select(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    low, high = df.select(F.min(F.size(column)), F.max(F.size(column))).first()
     if low != high:
         raise InvalidArgument(f"vectors of {low} to {high} elements in one table")
     return low
@@ -58,13 +62,38 @@ def nearest_one(base: DataFrame, query: list[float], k: int = 10, measure: Measu
     return rows.select("id", distance(measure, q, F.col("vec"), True).alias("dist")).orderBy("dist", "id").limit(max(0, k))
 
 
+class Payload:
+    """What a scanned table holds beside its ids: here vectors, elsewhere codes of them."""
+
+    column, bytes_each = "vec", 8
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The vectors that rows of the payload stand for."""
+        return x
+
+    def matrix(self, measure: Measure, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return matrix(measure, q, self.values(x))
+
+
+def exact_pairs(measure: Measure, q: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.ndarray, payload: Payload | None = None) -> np.ndarray:
+    """Distances of q[a] to x[b], a bounded number at a time."""
+    out, step = np.empty(len(a)), max(1, CELLS // max(1, x.shape[1]))
+    for at in range(0, len(a), step):
+        part = x[b[at : at + step]]
+        out[at : at + step] = pairs(measure, q[a[at : at + step]], part if payload is None else payload.values(part))
+    return out
+
+
 class _Queries:
-    def __init__(self, ids: np.ndarray, q: np.ndarray, measure: Measure, k: int | None, radius: float | None):
-        self.ids, self.q, self.measure, self.k, self.radius = ids, q, measure, k, radius
+    def __init__(self, ids: np.ndarray, q: np.ndarray, measure: Measure, k: int | None, radius: float | None, payload: Payload):
+        self.ids, self.q, self.measure, self.k, self.radius, self.payload = ids, q, measure, k, radius, payload
+
+    def step(self) -> int:
+        return max(1, min(STEP, CELLS // max(1, len(self.ids))))
 
     def scan(self, ids: np.ndarray, x: np.ndarray, worst: np.ndarray):
         """Candidates (query row, id, distance) of one block of base rows."""
-        d = matrix(self.measure, self.q, x)
+        d = self.payload.matrix(self.measure, self.q, x)
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(d), d, 0)))
         if self.radius is not None:
             keep = d <= self.radius + slack
@@ -74,8 +103,7 @@ class _Queries:
         else:
             keep = d <= worst[:, None] + slack
         a, b = np.nonzero(keep)
-        exact = pairs(self.measure, self.q[a], x[b])
-        return a, ids[b], exact
+        return a, ids[b], exact_pairs(self.measure, self.q, a, x, b, self.payload)
 
 
 def _keep(found, k: int, n: int):
@@ -90,31 +118,32 @@ def _keep(found, k: int, n: int):
     return (a[keep], ids[keep], d[keep]), worst
 
 
-def _scan(base: DataFrame, queries: DataFrame, measure: Measure, k: int | None, radius: float | None) -> DataFrame:
-    spark = base.sparkSession
+def scan(base: DataFrame, queries: DataFrame, measure: Measure, k: int | None, radius: float | None, payload: Payload | None = None) -> DataFrame:
+    """(qid, id, dist) of base (id, payload): k rows a task and query, or all within the radius."""
+    spark, payload = base.sparkSession, payload or Payload()
     dim, n = queries.select(F.max(F.size("vec")), F.count(F.lit(1))).first()
-    own = dimension(base)
+    own = dimension(base, payload.column)
     if not n or own is None:
         return spark.createDataFrame([], RESULT)
     if dimension(queries) != own:
         raise InvalidArgument(f"queries have {dim} elements, the table has {own}")
-    blocks = -(-n * max(dim, 1) * 8 // MAX_QUERY_BYTES)
+    blocks = max(-(-n * max(dim, 1) * 8 // MAX_QUERY_BYTES), -(-n // MAX_QUERIES))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         got = part.toArrow().combine_chunks()
         if not got.num_rows:
             continue
-        shared = spark.sparkContext.broadcast(_Queries(np.asarray(got["id"].combine_chunks()), stack(got["vec"].combine_chunks()), measure, k, radius))
+        shared = spark.sparkContext.broadcast(_Queries(np.asarray(got["id"].combine_chunks()), stack(got["vec"].combine_chunks()), measure, k, radius, payload))
 
         def run(batches, shared=shared):
             block = shared.value
             none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             have, worst = none, np.full(len(block.ids), np.inf)
             for x in batches:
-                ids, rows = np.asarray(x.column("id")), stack(x.column("vec"))
-                for at in range(0, len(ids), STEP):
-                    got = block.scan(ids[at : at + STEP], rows[at : at + STEP], worst)
+                ids, rows, step = np.asarray(x.column("id")), stack(x.column(block.payload.column)), block.step()
+                for at in range(0, len(ids), step):
+                    got = block.scan(ids[at : at + step], rows[at : at + step], worst)
                     if k is None:
                         yield _batch(block.ids[got[0]], *got[1:])
                     else:
@@ -140,22 +169,45 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, measure: Measure |
     rows = base if where is None else base.where(where)
     rows = vectors(rows, id_col, vec_col)
     if allowed is not None:
-        rows = rows.join(allowed.select("id").distinct(), "id", "left_semi")
+        rows = only(rows, allowed)
     if k <= 0:
         return base.sparkSession.createDataFrame([], RESULT + ", rank int")
-    return ranked(_scan(rows, vectors(queries, id_col, vec_col), Measure(measure), k, None), k)
+    return ranked(scan(rows, vectors(queries, id_col, vec_col), Measure(measure), k, None), k)
 
 
 def within(base: DataFrame, queries: DataFrame, radius: float, measure: Measure | str = Measure.SQUARED_L2, id_col: str = "id", vec_col: str = "vec", where: Column | None = None, most: int | None = None) -> DataFrame:
     """(qid, id, dist): rows at most ``radius`` away, in the measure's own unit."""
     rows = base if where is None else base.where(where)
-    found = _scan(vectors(rows, id_col, vec_col), vectors(queries, id_col, vec_col), Measure(measure), None, radius).where(F.col("dist") <= radius)
+    found = scan(vectors(rows, id_col, vec_col), vectors(queries, id_col, vec_col), Measure(measure), None, radius).where(F.col("dist") <= radius)
     return found if most is None else ranked(found, most).drop("rank")
 
 
 def pairwise(a: DataFrame, b: DataFrame, measure: Measure | str = Measure.SQUARED_L2, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """(qid, id, dist) for every row of a against every row of b, a in blocks."""
-    return _scan(vectors(b, id_col, vec_col), vectors(a, id_col, vec_col), Measure(measure), None, float("inf"))
+    return scan(vectors(b, id_col, vec_col), vectors(a, id_col, vec_col), Measure(measure), None, float("inf"))
+
+
+def paired(base: DataFrame, queries: DataFrame, at_once: int = 4096) -> DataFrame:
+    """Each row of base beside each row of queries, for column expressions on both; queries in blocks, base unshuffled."""
+    n = queries.count()
+    blocks = max(1, -(-n // at_once))
+    schema = T.StructType([*queries.schema.fields, *base.schema.fields])
+    key = F.xxhash64(*[F.to_json(F.struct(c)) for c in queries.columns]) if blocks > 1 else None
+    out = None
+    for b in range(blocks):
+        got = (queries if blocks == 1 else queries.where(F.pmod(key, F.lit(blocks)) == b)).toArrow().combine_chunks()
+        shared = base.sparkSession.sparkContext.broadcast(got.to_batches())
+
+        def run(batches, shared=shared):
+            for x in batches:
+                for block in shared.value:
+                    for i in range(block.num_rows):
+                        own = block.take(pa.array(np.full(x.num_rows, i)))
+                        yield pa.RecordBatch.from_arrays([*own.columns, *x.columns], schema.names)
+
+        part = base.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def pairwise_dot(a: DataFrame, b: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -163,10 +215,24 @@ def pairwise_dot(a: DataFrame, b: DataFrame, id_col: str = "id", vec_col: str =
     return pairwise(a, b, Measure.DOT, id_col, vec_col).withColumn("dist", -F.col("dist"))
 
 
-def rerank(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, measure: Measure | str = Measure.SQUARED_L2, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """Candidates (qid, id) again by exact distance; ids that base lacks are dropped."""
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in the table (id); a list of checked size goes to the rows."""
+    ids = ids.select("id").distinct()
+    small = ids.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES
+    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+
+
+def rerank(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, measure: Measure | str = Measure.SQUARED_L2, id_col: str = "id", vec_col: str = "vec", each: int | None = None) -> DataFrame:
+    """Candidates (qid, id) again by exact distance; ids that base lacks are dropped.
+
+    ``each`` is the most candidates that a query has, where that is known.
+    """
     q = vectors(queries, id_col, vec_col).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    exact = found.select("qid", "id").distinct().join(vectors(base, id_col, vec_col), "id").join(q, "qid")
+    n, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("qvec")), F.lit(0))).first()
+    wanted = found.select("qid", "id").distinct()
+    wanted = F.broadcast(wanted) if each is not None and n * each <= MAX_CANDIDATES else wanted
+    q = F.broadcast(q) if n * dim * 8 <= MAX_QUERY_BYTES else q
+    exact = vectors(base, id_col, vec_col).join(wanted, "id").join(q, "qid")
     return ranked(exact.select("qid", "id", distance(measure, F.col("qvec"), F.col("vec"), True).alias("dist")), k)
 
 

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillan.schema import LONG, extended
+from .numbering import numbered
 
 
-def _draw(seed: int, *keys: str):
+def draw(seed: int, *keys: str):
     return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
 
 
 def sample(df: DataFrame, k: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """k rows without replacement, all rows when there are fewer; a top-k on a seeded hash of the id."""
-    return df.orderBy(_draw(seed, id_col), id_col).limit(k)
+    return df.orderBy(draw(seed, id_col), id_col).limit(k)
 
 
 def sample_with_replacement(df: DataFrame, k: int, seed: int = 42, id_col: str = "id") -> DataFrame:
@@ -23,8 +23,7 @@ def sample_with_replacement(df: DataFrame, k: int, seed: int = 42, id_col: str =
     if not n:
         return df.withColumn("draw", F.lit(0)).limit(0)
     spots = df.sparkSession.range(k).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("_at"))
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(extended(df.schema, _at=LONG))
-    return spots.join(numbered, "_at").drop("_at")
+    return spots.join(numbered(df, "_at"), "_at").drop("_at")
 
 
 def reservoir(df: DataFrame, k: int, seed: int = 42, id_col: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +101,22 @@ def _sums(rows: DataFrame, model: Mixture):
     return body[:, 0], body[:, 1 : d + 1], body[:, d + 1 :], float(got[-1])
 
 
+def step(rows: DataFrame, model: Mixture, ridge: float = 1e-6) -> Mixture:
+    """The mixture after one step of expectation and maximisation, with the log likelihood of the one before."""
+    mass, first, second, ll = _sums(rows, model)
+    d = model.means.shape[1]
+    weights, means, cov = model.weights.copy(), model.means.copy(), model.covariances.copy()
+    for c in np.flatnonzero(mass >= 1e-10):
+        m = first[c] / mass[c]
+        means[c], weights[c] = m, mass[c] / mass.sum()
+        if model.kind == "full":
+            cov[c] = second[c].reshape(d, d) / mass[c] - np.outer(m, m) + ridge * np.eye(d)
+        else:
+            v = np.maximum(second[c] / mass[c] - m * m, 0)
+            cov[c] = (v if model.kind == "diagonal" else v.mean()) + ridge
+    return Mixture(model.kind, weights, means, cov, ll, model.steps + 1)
+
+
 def fit(rows: DataFrame, components: int = 8, kind: str = "diagonal", steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6, seed: int = 42) -> Mixture:
     """Means start by k-means++ on a sample, covariances as units; stops once the log likelihood changes by less than tol."""
     if kind not in KINDS:
@@ -112,19 +128,9 @@ def fit(rows: DataFrame, components: int = 8, kind: str = "diagonal", steps: int
     d = x.shape[1]
     unit = np.stack([np.eye(d)] * components) if kind == "full" else np.ones((components, d if kind == "diagonal" else 1))
     model = Mixture(kind, np.full(components, 1 / components), seed_centers(x, components, np.random.default_rng(seed)), unit)
-    for step in range(1, steps + 1):
-        mass, first, second, ll = _sums(rows, model)
-        done = abs(ll - model.log_likelihood) < tol
-        weights, means, cov = model.weights.copy(), model.means.copy(), model.covariances.copy()
-        for c in np.flatnonzero(mass >= 1e-10):
-            m = first[c] / mass[c]
-            means[c], weights[c] = m, mass[c] / mass.sum()
-            if kind == "full":
-                cov[c] = second[c].reshape(d, d) / mass[c] - np.outer(m, m) + ridge * np.eye(d)
-            else:
-                v = np.maximum(second[c] / mass[c] - m * m, 0)
-                cov[c] = (v if kind == "diagonal" else v.mean()) + ridge
-        if done:
-            return Mixture(kind, model.weights, model.means, model.covariances, ll, step)
-        model = Mixture(kind, weights, means, cov, ll, step)
+    for number in range(1, steps + 1):
+        after = step(rows, model, ridge)
+        if abs(after.log_likelihood - model.log_likelihood) < tol:
+            return replace(model, log_likelihood=after.log_likelihood, steps=number)
+        model = replace(after, steps=number)
     return model

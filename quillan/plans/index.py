@@ -11,12 +11,12 @@ import json
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillan.errors import FailedPrecondition, InvalidArgument
 from quillan.functions.distance import Measure
-from quillan.operators.knn import nearest, rerank, vectors, within
+from quillan.operators.knn import nearest, only, rerank, vectors, within
 
 from . import kmeans, partitioned, pq
 
@@ -52,8 +52,9 @@ class Config:
     def kind(self) -> str:
         return {(False, False): "brute_force", (True, False): "partitioned", (False, True): "hashed", (True, True): "tree_hash"}[(self.partitions is not None, self.subspaces is not None)]
 
-    def build(self, df: DataFrame, id_col: str = "id", vec_col: str = "vec") -> Index:
-        rows = vectors(df, id_col, vec_col)
+    def build(self, df: DataFrame, id_col: str = "id", vec_col: str = "vec", keep: tuple[str, ...] = ()) -> Index:
+        """An index of df; the columns ``keep`` stay for predicates."""
+        rows = vectors(df, id_col, vec_col, keep)
         if rows.isEmpty():
             raise InvalidArgument("an index needs rows")
         clusters, centers = None, None
@@ -62,7 +63,7 @@ class Config:
             rows, centers = partitioned.tokenize(rows, clusters), clusters.centers
         book, coded = None, None
         if self.subspaces is not None:
-            own = rows if centers is None else rows.select("id", "partition_id", "vec")
+            own = rows if centers is None else rows.select("id", "partition_id", "vec", *keep)
             left = partitioned.residuals(own, centers) if centers is not None and self.residual else own
             book = pq.train(left, self.subspaces, self.codes, self.steps, self.tol, self.seed)
             coded = pq.encode(left, book).drop("vec")
@@ -82,12 +83,21 @@ class Index:
             raise FailedPrecondition("this index has no partitions")
         return kmeans.Clusters(self.centers, 0.0, 0).table(self.rows.sparkSession)
 
-    def search(self, queries: DataFrame, k: int | None = None, probes: int | None = None, candidates: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-        """(qid, id, dist, rank) for queries (id, vec); allowed: a table (id) that filters before scoring."""
+    def search(self, queries: DataFrame, k: int | None = None, probes: int | None = None, candidates: int | None = None, allowed: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+        """(qid, id, dist, rank) for queries (id, vec).
+
+        Both filters apply before scoring: ``allowed`` is a table (id), ``where`` a
+        predicate on id and the kept columns, which reaches the files' scan.
+        """
         c = self.config
         k, probes, candidates = k or c.neighbors, probes or c.probes, candidates or c.candidates
         wide = max(k, candidates or 0)
-        semi = (lambda df: df) if allowed is None else (lambda df: df.join(allowed.select("id").distinct(), "id", "left_semi"))
+
+
+        def semi(df: DataFrame) -> DataFrame:
+            df = df if where is None else df.where(where)
+            return df if allowed is None else only(df, allowed)
+
         if c.kind == "brute_force":
             return nearest(semi(self.rows), queries, k, c.measure)
         if c.kind == "partitioned":
@@ -96,7 +106,7 @@ class Index:
             tree = c.kind == "tree_hash"
             found = partitioned.search_codes(semi(self.coded), self.book, queries, wide, self.centroids() if tree else None, probes, self.centers if tree and c.residual else None)
             if candidates:
-                return rerank(found, self.rows, queries, k, c.measure)
+                return rerank(found, self.rows, queries, k, c.measure, each=wide)
         return found.where(F.col("rank") <= k)
 
     def radius(self, queries: DataFrame, radius: float) -> DataFrame:

@@ -11,12 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillan.errors import InvalidArgument
 from quillan.operators.knn import stack
-from quillan.operators.sampling import sample
+from quillan.operators.sampling import draw, sample
 from quillan.schema import DOUBLE, INT, extended
 
 SEED_ROWS = 20_000
@@ -91,8 +91,8 @@ def _step(rows: DataFrame, centers: np.ndarray):
     return body[:, :d], body[:, d], float(flat[-1])
 
 
-def fit(rows: DataFrame, k: int, steps: int = 100, tol: float = 1e-5, seed: int = 42, plus: bool = True, restarts: int = 1) -> Clusters:
-    """Best of ``restarts`` runs by inertia; k is at most the number of rows.
+def fit(rows: DataFrame, k: int, steps: int = 100, tol: float = 1e-5, seed: int = 42, plus: bool = True, restarts: int = 1, start: np.ndarray | None = None) -> Clusters:
+    """Best of ``restarts`` runs by inertia, or the one from the centers ``start``; k is at most the number of rows.
 
     A cluster that lost its rows takes row i mod n of the seeding sample, in
     hash order.  Stops before an update once inertia changes by less than tol.
@@ -101,10 +101,10 @@ def fit(rows: DataFrame, k: int, steps: int = 100, tol: float = 1e-5, seed: int
     if not pool.num_rows:
         raise InvalidArgument("no rows to cluster")
     x = stack(pool["vec"].combine_chunks())
-    k = min(k, len(x))
+    k = min(k, len(x)) if start is None else len(start)
     best = None
-    for r in range(max(1, restarts)):
-        centers = seed_centers(x, k, np.random.default_rng(seed + r), plus)
+    for r in range(max(1, restarts) if start is None else 1):
+        centers = seed_centers(x, k, np.random.default_rng(seed + r), plus) if start is None else np.asarray(start, dtype=np.float64)
         before, done = np.inf, 0
         for done in range(1, steps + 1):
             sums, n, inertia = _step(rows, centers)
@@ -199,34 +199,83 @@ class Tree:
         return rows.mapInArrow(run, extended(rows.schema, partition_id=INT))
 
 
+def _step_nodes(placed: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """(sums, counts, inertia) of each of the nodes (partition_id) against its own centers, in one pass."""
+    shared = placed.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches):
+        total = {}
+        for b in batches:
+            part, x = np.asarray(b.column("partition_id")), stack(b.column("vec"))
+            for node in np.unique(part).tolist():
+                own = x[part == node]
+                at, far = nearest_center(own, shared.value[node])
+                k, d = shared.value[node].shape
+                body = total.setdefault(node, np.zeros((k, d + 2)))
+                np.add.at(body, at, np.column_stack([own, np.ones(len(own)), far]))
+        for node, body in total.items():
+            flat = body.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), node, dtype=np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["node", "i", "x"])
+
+    held = {node: np.zeros(c.shape[0] * (c.shape[1] + 2)) for node, c in centers.items()}
+    rows = placed.where(F.col("partition_id").isin(list(centers))).select("partition_id", "vec")
+    got = rows.mapInArrow(run, "node int, i int, x double").groupBy("node", "i").agg(F.sum("x").alias("x")).toArrow()
+    for node, i, x in zip(*(got[c].to_pylist() for c in ("node", "i", "x"))):
+        held[node][i] = x
+    shared.unpersist()
+    out = {}
+    for node, c in centers.items():
+        body = held[node].reshape(len(c), -1)
+        out[node] = body[:, :-2], body[:, -2], float(body[:, -1].sum())
+    return out
+
+
+def _fit_nodes(placed: DataFrame, nodes: list[int], k: int, steps: int, tol: float, seed: int) -> dict[int, np.ndarray]:
+    """Centers of each node's rows, by Lloyd steps that all nodes share; a node rests once its inertia hardly changes."""
+    each = max(4 * k, SEED_ROWS // len(nodes))
+    order = Window.partitionBy("partition_id").orderBy(draw(42, "id"), "id")
+    mine = placed.where(F.col("partition_id").isin(nodes))
+    pool = mine.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("partition_id", "_n", "vec").toArrow().combine_chunks()
+    part, number, x = np.asarray(pool["partition_id"].combine_chunks()), np.asarray(pool["_n"].combine_chunks()), stack(pool["vec"].combine_chunks())
+    seeds = {node: x[part == node][np.argsort(number[part == node])] for node in nodes}
+    centers = {node: seed_centers(s, min(k, len(s)), np.random.default_rng(seed)) for node, s in seeds.items()}
+    before, moving = dict.fromkeys(nodes, np.inf), set(nodes)
+    for _ in range(steps):
+        got = _step_nodes(placed, {node: centers[node] for node in moving})
+        for node, (sums, n, inertia) in got.items():
+            if np.isfinite(before[node]) and abs(before[node] - inertia) / (before[node] + 1e-10) < tol:
+                moving.discard(node)
+                continue
+            before[node] = inertia
+            centers[node] = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], seeds[node][np.arange(len(n)) % len(seeds[node])])
+        if not moving:
+            break
+    return centers
+
+
 def fit_tree(rows: DataFrame, children: int = 100, depth: int = 1, min_leaf: int = 1, steps: int = 100, tol: float = 1e-5, seed: int = 42) -> Tree:
-    """Levels are built one after the other; a node's rows are found by descending the tree so far."""
+    """Levels are built one after the other, all nodes of a level in the same passes; a node's rows are found by descending the tree so far."""
     n, d = rows.count(), rows.select(F.max(F.size("vec"))).first()[0]
     if not n:
         raise InvalidArgument("no rows to cluster")
     sums, _, _ = _step(rows, np.zeros((1, d)))
     tree = Tree([Node(0, None, 0, n, sums[0] / n)])
     for level in range(depth):
-        # Children are attached once the level is done, so that all its nodes descend the same tree.
-        grown: list[tuple[Node, np.ndarray, list[Node]]] = []
-        for at in [x for x in tree.leaves if tree.nodes[x].depth == level]:
-            node = tree.nodes[at]
-            if node.size <= max(min_leaf, children):
+        number = {i: leaf for i, leaf in enumerate(tree.leaves) if tree.nodes[leaf].depth == level and tree.nodes[leaf].size > max(min_leaf, children)}
+        if not number:
+            break
+        placed = tree.place(rows)
+        centers = _fit_nodes(placed, list(number), children, steps, tol, seed + level)
+        nodes, grown = list(tree.nodes), False
+        for i, (sums, count, _) in sorted(_step_nodes(placed, centers).items(), key=lambda x: number[x[0]]):
+            node, full = tree.nodes[number[i]], np.flatnonzero(count)
+            if len(full) < 2:
                 continue
-            mine = tree.place(rows).where(F.col("partition_id") == tree.leaves.index(at)).drop("partition_id") if level else rows
-            found = fit(mine, children, steps, tol, seed + level)
-            sums, count, _ = _step(mine, found.centers)
-            full = np.flatnonzero(count)
-            if len(full) > 1:
-                grown.append((node, found.centers[full], [Node(-1, at, level + 1, int(count[c]), sums[c] / count[c]) for c in full]))
+            node.split, grown = centers[i][full], True
+            for c in full:
+                node.children.append(len(nodes))
+                nodes.append(Node(len(nodes), node.node_id, level + 1, int(count[c]), sums[c] / count[c]))
         if not grown:
             break
-        nodes = list(tree.nodes)
-        for node, split, new in grown:
-            node.split = split
-            for child in new:
-                child.node_id = len(nodes)
-                node.children.append(child.node_id)
-                nodes.append(child)
         tree = Tree(nodes)
     return tree

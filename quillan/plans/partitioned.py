@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillan.functions.distance import Measure, matrix, pairs
-from quillan.operators.knn import MAX_QUERY_BYTES, RESULT, _keep, nearest, ranked, stack, vectors
+from quillan.functions.distance import Measure, matrix
+from quillan.operators.knn import CELLS, MAX_QUERIES, MAX_QUERY_BYTES, RESULT, _keep, exact_pairs, nearest, only, ranked, stack, vectors
 
 from .kmeans import Clusters, assign
 from .pq import Codebook, encode
@@ -43,13 +43,13 @@ def sizes(rows: DataFrame) -> DataFrame:
 class _Probes:
     """A query block: vectors, and by partition the rows of those that probe it."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, routes: list[tuple[int, int]]):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, partition: np.ndarray):
         self.ids, self.q = ids, q
-        at = {int(i): n for n, i in enumerate(ids)}
-        lists: dict[int, list[int]] = {}
-        for qid, p in routes:
-            lists.setdefault(p, []).append(at[qid])
-        self.by_partition = {p: np.array(sorted(v)) for p, v in lists.items()}
+        by_id = np.argsort(ids, kind="stable")
+        at = by_id[np.searchsorted(ids[by_id], qid)]
+        order = np.lexsort((at, partition))
+        names, first = np.unique(partition[order], return_index=True)
+        self.by_partition = {int(p): v for p, v in zip(names, np.split(at[order], first[1:]))}
 
 
 class Exact:
@@ -64,9 +64,12 @@ class Exact:
         d = matrix(self.measure, q, x)
         if len(q) * len(x) <= 1 << 16:  # few rows: the distances themselves, without the rounding of products
             a, b = np.divmod(np.arange(len(q) * len(x)), max(1, len(x)))
-            d = pairs(self.measure, q[a], x[b]).reshape(len(q), len(x))
+            d = exact_pairs(self.measure, q, a, x, b).reshape(len(q), len(x))
         return d
 
+    def queries_at_once(self, rows: int) -> int:
+        return max(1, CELLS // max(1, rows))
+
 
 class Coded:
     """Scores codes by lookup tables; of what is left beyond the centroid where residuals are coded."""
@@ -84,6 +87,10 @@ class Coded:
             out += tables[:, s, codes[:, s]]
         return out
 
+    def queries_at_once(self, rows: int) -> int:
+        """Queries whose distances and lookup tables stay within CELLS numbers."""
+        return max(1, CELLS // max(1, rows, sum(len(c) for c in self.book.parts)))
+
 
 def probe_scan(rows: DataFrame, queries: DataFrame, routes: DataFrame, k: int, score, step: int = 4096) -> DataFrame:
     """(qid, id, dist, rank): the k best of each query in its partitions; rows (id, partition_id, payload)."""
@@ -91,15 +98,15 @@ def probe_scan(rows: DataFrame, queries: DataFrame, routes: DataFrame, k: int, s
     n, dim = queries.select(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if not n or k <= 0:
         return spark.createDataFrame([], RESULT + ", rank int")
-    blocks = -(-n * dim * 8 // MAX_QUERY_BYTES)
+    blocks = max(-(-n * dim * 8 // MAX_QUERY_BYTES), -(-n // MAX_QUERIES))
     out = None
     for b in range(blocks):
         share = (lambda df, c: df) if blocks == 1 else (lambda df, c: df.where(F.pmod(F.xxhash64(c), F.lit(blocks)) == b))
         got = share(queries, "id").toArrow().combine_chunks()
         if not got.num_rows:
             continue
-        pairs_ = [(r["qid"], r["partition_id"]) for r in share(routes, "qid").select("qid", "partition_id").collect()]
-        probes = _Probes(np.asarray(got["id"].combine_chunks()), stack(got["vec"].combine_chunks()), pairs_)
+        to = share(routes, "qid").select("qid", "partition_id").toArrow().combine_chunks()
+        probes = _Probes(np.asarray(got["id"].combine_chunks()), stack(got["vec"].combine_chunks()), np.asarray(to["qid"].combine_chunks()), np.asarray(to["partition_id"].combine_chunks()))
         shared = spark.sparkContext.broadcast(probes)
         wanted = sorted(probes.by_partition)
         own = rows.where(F.col("partition_id").isin(wanted)) if len(wanted) <= PRUNE_UP_TO else rows
@@ -107,17 +114,30 @@ def probe_scan(rows: DataFrame, queries: DataFrame, routes: DataFrame, k: int, s
         def run(batches, shared=shared):
             block = shared.value
             have = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            worst = np.full(len(block.ids), np.inf)
             for x in batches:
                 part, ids, load = np.asarray(x.column("partition_id")), np.asarray(x.column("id")), stack(x.column(score.payload))
-                for p in np.unique(part):
-                    mine = block.by_partition.get(int(p))
-                    if mine is None:
-                        continue
-                    at = np.flatnonzero(part == p)
+                order = np.argsort(part, kind="stable")
+                names, first = np.unique(part[order], return_index=True)
+                found, held = [have], 0
+                for p, at in zip(names, np.split(order, first[1:])):
+                    probing = block.by_partition.get(int(p), np.zeros(0, np.int64))
                     for i in range(0, len(at), step):
-                        d = score(block.q[mine], int(p), load[at[i : i + step]])
-                        a, c = np.nonzero(np.isfinite(d) | (d == np.inf))
-                        have, _ = _keep([have, (mine[a], ids[at[i : i + step]][c], d[a, c])], k, len(block.ids))
+                        rows_ = at[i : i + step]
+                        most = score.queries_at_once(len(rows_))
+                        for j in range(0, len(probing), most):
+                            mine = probing[j : j + most]
+                            d = score(block.q[mine], int(p), load[rows_])
+                            # Only what may be among the k best of these rows and of those before.
+                            near = np.partition(d, k - 1, axis=1)[:, k - 1] if len(rows_) > k else np.inf
+                            a, c = np.nonzero(d <= np.minimum(near, worst[mine])[:, None])
+                            found.append((mine[a], ids[rows_[c]], d[a, c]))
+                            held += len(a)
+                            if held > CELLS:
+                                have, worst = _keep(found, k, len(block.ids))
+                                found, held = [have], 0
+                if len(found) > 1:
+                    have, worst = _keep(found, k, len(block.ids))
             yield pa.RecordBatch.from_arrays([pa.array(block.ids[have[0]], pa.int64()), pa.array(have[1], pa.int64()), pa.array(have[2], pa.float64())], ["qid", "id", "dist"])
 
         part = own.select("id", "partition_id", score.payload).mapInArrow(run, RESULT)
@@ -161,5 +181,5 @@ def search_codes(coded: DataFrame, book: Codebook, queries: DataFrame, k: int, c
     else:
         routes = route(queries, centroids, probes)
     if allowed is not None:
-        coded = coded.join(allowed.select("id").distinct(), "id", "left_semi")
+        coded = only(coded, allowed)
     return probe_scan(coded, q, routes, k, Coded(book, centers))
