@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import free_name
 
 ORDERS, BITS = 3, 24
-SLICE_ROWS, SLICE_BYTES = 256, 2_000_000
+SLICE_ROWS, SLICE_BYTES = 256, 1_000_000
 assert SLICE_ROWS << BITS <= 1 << 32  # a row's number and an n-gram share 32 bits
 NEW = ("lang_pred", "score")
 
