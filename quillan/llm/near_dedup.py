@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BitFilter, cut, hits
 from .textkernel import constants, mix64, ngram_hashes, slices
 
 TREES, DEPTH, SKETCH = 24, 8, 128
@@ -125,31 +125,24 @@ def _summaries(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, bits: int = 1 << 26) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, set): the sorted shingle hashes of the wanted documents.
 
     A filter of fixed size goes to the executors first, so that most texts
     that are not wanted are passed over before the join.
     """
-    n = wanted.count()
-    size = 1 << min(bits.bit_length() - 1, max(10, (16 * n).bit_length()))
-    slots = wanted.select(F.expr(f"xxhash64(doc_id) & {size - 1}L").alias("b")).distinct()
-    words = slots.groupBy(F.expr("b >> 6").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
-    table = np.zeros(max(1, size >> 6), dtype=np.int64)
-    table[np.asarray(words["w"].combine_chunks())] = np.asarray(words["v"].combine_chunks())
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    known = BitFilter(wanted, "xxhash64(doc_id)", wanted.count())
+    shared = known.shared
 
     def run(batches):
-        table = shared.value
         for b in batches:
-            at = np.asarray(b.column("b"))
-            b = b.filter(pa.array((table[at >> 6] >> (at & 63)) & 1 == 1))
+            b = b.filter(pa.array(hits(shared, b.column("b"))))
             for at, to, hashes, first in shingle_sets(b.column("t"), shingle):
                 raw, offsets = hashes.astype("<u8").tobytes(), (first * 8).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at), packed], ["doc_id", "set"])
 
-    hashed = docs.where("t is not null").withColumn("b", F.expr(f"xxhash64(doc_id) & {size - 1}L"))
+    hashed = docs.where("t is not null").withColumn("b", F.expr(known.slot("xxhash64(doc_id)")))
     return hashed.mapInArrow(run, "doc_id long, set binary").join(wanted, "doc_id", "left_semi")
 
 

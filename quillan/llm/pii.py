@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import BitFilter, cut, free_name, hits
 from .textkernel import HashSet, Words, mix64, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -156,31 +156,48 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, broadcast_rows
     if few.num_rows <= broadcast_rows:
         known = docs.sparkSession.sparkContext.broadcast(HashSet(np.asarray(few["t"].combine_chunks()).view(np.uint64)))
 
-    def run(batches):
-        for b in batches:
-            found, share = [np.zeros(0, np.uint64)], [np.zeros(0)]
-            weight = 1 / np.asarray(b.column("n"))
-            for start, _, w in slices(b.column("t"), lower=True, punct=True):
-                h, rows = w.hashes(), w.rows()
-                if known is not None:
-                    at, _ = known.value.find(h)
-                    h, rows = h[at], rows[at]
-                order = np.lexsort((h, rows))
-                h, rows = h[order], rows[order]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))) if len(h) else np.zeros(0, bool)
-                found.append(h[new])
-                share.append(weight[start + rows[new]])
-            t, at = np.unique(np.concatenate(found), return_inverse=True)
-            n = np.bincount(at, np.concatenate(share), len(t))
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["t", "n"])
+    def count(texts, weight):
+        """(term, sum of weights) of a batch."""
+        found, share = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for start, _, w in slices(texts, lower=True, punct=True):
+            h, rows = w.hashes(), w.rows()
+            if known is not None:
+                at, _ = known.value.find(h)
+                h, rows = h[at], rows[at]
+            order = np.lexsort((h, rows))
+            h, rows = h[order], rows[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))) if len(h) else np.zeros(0, bool)
+            found.append(h[new])
+            share.append(weight[start + rows[new]])
+        t, at = np.unique(np.concatenate(found), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.bincount(at, np.concatenate(share), len(t)))], ["t", "n"])
 
     if known is not None and not len(known.value.values):
         return terms.select("t", F.lit(0).cast("long").alias("df")).limit(0)
     texts = docs.select(F.col(text_col).alias("t"), text_key(text_col).alias("x")).where("t is not null")
-    copies = texts.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    weighed = texts.join(copies, "x", "left").select("t", F.coalesce("n", F.lit(1)).alias("n"))
+    copies = cut(texts.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # Only texts that may have copies are shuffled to learn how many.
+    copied = BitFilter(copies, "x", copies.count())
+    shared = copied.shared
+    slotted = texts.withColumn("b", F.expr(copied.slot("x")))
+
+    def single(batches):
+        for b in batches:
+            own = b.column("t").filter(pa.array(~hits(shared, b.column("b"))))
+            yield count(own, np.ones(len(own)))
+
+    def several(batches):
+        for b in batches:
+            yield b.filter(pa.array(hits(shared, b.column("b")))).select(["t", "x"])
+
+    def weighed(batches):
+        for b in batches:
+            yield count(b.column("t"), 1 / np.asarray(b.column("n")))
+
+    alone = slotted.select("t", "b").mapInArrow(single, "t long, n double")
+    more = slotted.mapInArrow(several, "t string, x long").join(copies, "x", "left").select("t", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(weighed, "t long, n double")
     # Sums of 1/n are whole but for rounding.
-    counts = weighed.mapInArrow(run, "t long, n double").groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("df"))
+    counts = alone.unionByName(more).groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("df"))
     return counts if known is not None else counts.join(terms, "t")
 
 
