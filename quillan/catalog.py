@@ -255,16 +255,28 @@ def crowding(spark, sf_dir):
     return found(diversify.crowding(_candidates(spark, sf_dir)[1], K, 2, "label"))
 
 
-@query()
+_NEAREST = f"{E}, {Q}, s AS (SELECT qid, id, label, v, {DIST['squared_l2']} AS d FROM q, e), c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS n FROM s QUALIFY n <= 50)"
+
+
+@query(f"""WITH RECURSIVE {_NEAREST}, g AS (SELECT qid, 0::bigint AS n, []::bigint[] AS ls, []::bigint[] AS ids, []::double[] AS ds FROM q
+UNION ALL SELECT qid, n, CASE WHEN ok THEN list_append(ls, label) ELSE ls END, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(ds, d) ELSE ds END FROM (
+SELECT g.qid, c.n, ls, ids, ds, c.label, c.id, c.d, len(ids) < {K} AND len(list_filter(ls, lambda x: x = c.label)) < 3 AND len(list_filter(ids, lambda x: x % 2 = c.id % 2)) < 6 AS ok FROM g JOIN c ON c.qid = g.qid AND c.n = g.n + 1)),
+f AS (SELECT * FROM g QUALIFY n = max(n) OVER (PARTITION BY qid))
+SELECT qid, ids[i] AS id, round(ds[i], 6) + 0.0 AS dist, i::int AS rank FROM f, range(1, {K + 1}) AS r(i) WHERE i <= len(ids)""")
 def crowding_many(spark, sf_dir):
-    """Limits on label and on parity together; greedy, tested against a plain version."""
+    """Limits on label and on parity together, in rank order."""
     c = _candidates(spark, sf_dir)[1].withColumn("parity", F.col("id") % 2)
     return found(diversify.crowding_many(c, K, {"label": 3, "parity": 6}))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAREST}, sim AS (SELECT a.qid, a.n AS a, b.n AS b, list_cosine_similarity(a.v, b.v) AS c FROM c AS a JOIN c AS b ON a.qid = b.qid),
+g AS (SELECT qid, n, d, 1 AS step, 1::bigint AS last, '-infinity'::double AS near, CASE WHEN n = 1 THEN 1 END AS pos FROM c
+UNION ALL SELECT qid, n, d, step + 1, best, near2, CASE WHEN pos IS NOT NULL THEN pos WHEN n = best THEN step + 1 END FROM (
+SELECT *, first_value(n) OVER (PARTITION BY qid ORDER BY CASE WHEN pos IS NULL THEN 0 ELSE 1 END, round(0.5 * -d - 0.5 * near2, 12) DESC, n) AS best FROM (
+SELECT g.*, greatest(near, sim.c) AS near2 FROM g JOIN sim ON sim.qid = g.qid AND sim.a = g.n AND sim.b = g.last)) WHERE step < {K})
+SELECT g.qid, c.id, round(c.d, 6) + 0.0 AS dist, pos::int AS rank FROM g JOIN c ON c.qid = g.qid AND c.n = g.n WHERE step = {K} AND pos IS NOT NULL""")
 def mmr(spark, sf_dir):
-    """Maximal marginal relevance; greedy, tested against a plain version."""
+    """Maximal marginal relevance, in the order of choice."""
     return found(diversify.mmr(_candidates(spark, sf_dir)[1], K, 0.5))
 
 
@@ -322,17 +334,6 @@ def int4_round_trip(spark, sf_dir):
     return embeddings(spark, sf_dir).select("id", quantize.unpack_int4(packed, DIM).alias("back"), F.octet_length(packed).alias("n_bytes"))
 
 
-@query()
-def float_formats(spark, sf_dir):
-    """Largest relative error of bf16, f16 and the two 8-bit floats, row by row."""
-    rows = embeddings(spark, sf_dir)
-    v = F.col("vec")
-    worst = lambda back: F.array_max(F.zip_with(v, back, lambda x, y: F.abs(x - y)))
-    scale = quantize.fp8_scale(rows.select(F.max(F.array_max(F.transform(v, lambda x: F.abs(x))))).first()[0])
-    coded = rows.withColumn("b", quantize.to_bf16(v)).withColumn("h", quantize.through_f16(v)).withColumn("f", quantize.to_fp8("e4m3", scale)(v)).withColumn("g", quantize.to_fp8("e5m2")(v))
-    return coded.select("id", six(worst(quantize.from_bf16("b"))).alias("bf16"), six(worst(F.col("h"))).alias("f16"), six(worst(quantize.from_fp8(F.col("f"), "e4m3", scale))).alias("e4m3"), six(worst(quantize.from_fp8(F.col("g"), "e5m2"))).alias("e5m2"))
-
-
 _CENT = "cl AS (SELECT label AS p, i, avg(v[i]) AS x FROM e, range(1, 65) AS r(i) GROUP BY label, i), ce AS (SELECT p, list(x ORDER BY i) AS c FROM cl GROUP BY p)"
 
 
@@ -532,12 +533,20 @@ def rotations(spark, sf_dir):
     return turned.select("id", six(vec.squared_norm(F.col("vec"))).alias("before"), six(vec.squared_norm(F.col("a"))).alias("rotated"), six(vec.squared_norm(F.col("b"))).alias("pq_rotated"))
 
 
-@query()
+def _matrix_sql(m) -> str:
+    """Columns of a projection as lists in SQL."""
+    return "[" + ", ".join("[" + ", ".join(f"{x!r}::double" for x in c) + "]" for c in m.T.tolist()) + "]"
+
+
+_GAUSSIAN, _THIN, _TURN = projections.gaussian(DIM, 16), projections.sparse(DIM, 16), projections.random_orthogonal(DIM, 16)
+_TIMES = ", ".join(f"list_transform({_matrix_sql(p.weights)}, lambda c: round(list_inner_product(v, c), 6) + 0.0) AS {n}" for n, p in (("gaussian", _GAUSSIAN), ("thin", _THIN), ("turned", _TURN)))
+
+
+@query(f"WITH {E} SELECT id, {_TIMES} FROM e")
 def random_projections(spark, sf_dir):
-    """Gaussian and sparse projections to 16 elements."""
-    rows = embeddings(spark, sf_dir)
-    both = projections.sparse(DIM, 16)(projections.gaussian(DIM, 16)(rows, "a"), "b")
-    return both.select("id", F.transform("a", six).alias("gaussian"), F.transform("b", six).alias("sparse"))
+    """Gaussian, sparse and orthogonal projections to 16 elements."""
+    out = _TURN(_THIN(_GAUSSIAN(embeddings(spark, sf_dir), "a"), "b"), "c")
+    return out.select("id", F.transform("a", six).alias("gaussian"), F.transform("b", six).alias("thin"), F.transform("c", six).alias("turned"))
 
 
 _LOG = "SELECT event_id AS seq, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'remove' ELSE 'update' END AS op, user_id AS id, value FROM events"

@@ -3,7 +3,9 @@
 A log row is (seq, op, id, vec) with op add, update or remove.  The live
 table is each id's latest row unless that removes it; a removed id lives
 again when it is updated.  Logs are tables or file streams; compaction writes
-a new version of the base and moves a pointer to it.
+a new version of the base, together with the last log row that it holds, so
+what is pending follows from the files alone.  A reader that keeps a version's
+number reads the same rows however often the table is compacted.
 """
 
 from __future__ import annotations
@@ -90,36 +92,61 @@ class Versions:
         names = [s.getPath().getName() for s in fs.listStatus(at)]
         return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS")))
 
-    def current(self) -> DataFrame | None:
-        found = self._numbers()
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
+    def newest(self) -> int | None:
+        return (self._numbers() or [None])[-1]
+
+    def at(self, number: int) -> DataFrame:
+        """The table as of a version."""
+        if number not in self._numbers():
+            raise NotFound(f"no version {number}")
+        return self.spark.read.parquet(f"{self.path}/v{number}")
 
-    def store(self, table: DataFrame) -> int:
-        number = (self._numbers() or [0])[-1] + 1
-        table.write.parquet(f"{self.path}/v{number}")
+    def current(self) -> DataFrame | None:
+        number = self.newest()
+        return None if number is None else self.at(number)
+
+    def upto(self) -> int:
+        """seq of the last log row in the newest version; -1 where none is."""
+        number = self.newest()
+        return -1 if number is None else self.spark.read.parquet(f"{self.path}/upto-v{number}").first()["seq"]
+
+    def store(self, table: DataFrame, upto: int = -1) -> int:
+        """The number of the new version, which holds the log up to the row ``upto``; complete once its table is."""
+        number = (self.newest() or 0) + 1
+        self.spark.createDataFrame([(upto,)], "seq long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/upto-v{number}")
+        table.write.mode("overwrite").parquet(f"{self.path}/v{number}")
         return number
 
 
 def compact(versions: Versions, log: DataFrame) -> int:
-    """A new version without removed rows; ids stay."""
-    base = versions.current()
-    return versions.store(live(log).select("id", "vec") if base is None else apply(base, log))
+    """A new version without removed rows, from the newest one and the log rows after it; ids stay."""
+    base, upto = versions.current(), versions.upto()
+    last = log.agg(F.max("seq")).first()[0]
+    table = live(log).select("id", "vec") if base is None else apply(base, pending(log, upto))
+    return versions.store(table, max(upto, -1 if last is None else last))
 
 
-def follow(stream: DataFrame, log_path: str, checkpoint: str, versions: Versions | None = None, rebuild_after: int | None = None) -> StreamingQuery:
+def follow(stream: DataFrame, log_path: str, checkpoint: str, versions: Versions | None = None, rebuild_after: int | None = None, truncate: bool = False) -> StreamingQuery:
     """Appends a stream of mutations to a log table, batch by batch.
 
     A batch is written to its own folder, so that a repeated batch replaces
-    itself; after ``rebuild_after`` rows the log is compacted into a version.
+    itself; once ``rebuild_after`` rows wait in the log, which a restart does not
+    forget, it is compacted into a version.  With ``truncate``, folders of
+    batches that a version holds are removed.
     """
-    count = {"n": 0}
 
     def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.select("seq", "op", "id", "vec").write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        if versions is not None and rebuild_after is not None:
-            count["n"] += batch.count()
-            if count["n"] >= rebuild_after:
-                compact(versions, batch.sparkSession.read.parquet(log_path).drop("batch"))
-                count["n"] = 0
+        if versions is None or rebuild_after is None:
+            return
+        log = spark.read.schema(LOG + ", batch long").parquet(log_path)
+        if needs_rebuild(log, versions.upto(), rebuild_after):
+            compact(versions, log.drop("batch"))
+            if truncate:
+                jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+                for r in log.groupBy("batch").agg(F.max("seq").alias("last")).where(F.col("last") <= versions.upto()).collect():
+                    path = jvm.org.apache.hadoop.fs.Path(f"{log_path}/batch={r['batch']}")
+                    path.getFileSystem(conf).delete(path, True)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -54,3 +54,21 @@ def test_versions_and_stream(spark, tmp_path):
     assert whole.count() == 5
     assert m.compact(versions, whole) == 2
     assert {r["id"]: r["vec"] for r in versions.current().collect()} == {0: [4, 4], 2: [5, 6]}
+    assert {r["id"] for r in versions.at(1).collect()} == {0, 2} and versions.upto() == 9
+    with pytest.raises(NotFound):
+        versions.at(7)
+
+
+def test_pending_rows_outlive_a_restart(spark, tmp_path):
+    versions, source = m.Versions(spark, str(tmp_path / "table")), str(tmp_path / "in")
+    run = lambda: m.follow(spark.readStream.schema(m.LOG).parquet(source), str(tmp_path / "log"), str(tmp_path / "cp"), versions, 5, truncate=True).awaitTermination()
+    log(spark, ROWS).coalesce(1).write.parquet(source)
+    run()
+    assert versions.current() is None and versions.upto() == -1
+    log(spark, [(9, "update", 0, [4.0, 4.0])]).coalesce(1).write.mode("append").parquet(source)
+    run()  # four rows waited, one came
+    assert {r["id"]: r["vec"] for r in versions.current().collect()} == {0: [4, 4], 2: [5, 6]} and versions.upto() == 9
+    log(spark, [(10 + k, "update", 5, [float(k), 0.0]) for k in range(4)] + [(20, "remove", 2, None)]).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert {r["id"]: r["vec"] for r in versions.current().collect()} == {0: [4, 4], 5: [3, 0]}
+    assert versions.newest() == 2 and not list((tmp_path / "log").glob("batch=*"))
