@@ -321,6 +321,38 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+class _Linked:
+    """Which pairs of rows are linked, by their whole sets.
+
+    A bit stands for each shingle that several rows have; where these bits
+    would take over ``CELL_BYTES``, the sets are compared pair by pair.
+    """
+
+    def __init__(self, sets: pa.Array, percent: int):
+        self.percent = percent
+        self.sets = [np.frombuffer(x.as_buffer(), "<u8") for x in sets]
+        self.size = np.array([len(x) for x in self.sets], dtype=np.int64)
+        _, column, times = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        several = times > 1
+        column, kept = (np.cumsum(several) - 1)[column], several[column]
+        words = (int(several.sum()) + 63) // 64
+        self.bits = None
+        if words * len(self.sets) * 8 <= CELL_BYTES:
+            row, column = np.repeat(np.arange(len(self.sets)), self.size)[kept], column[kept]
+            self.bits = np.zeros((len(self.sets), words), dtype=np.uint64)
+            np.bitwise_or.at(self.bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+
+    def __call__(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([similar(self.sets[i], self.sets[j], self.percent) for i, j in zip(p.tolist(), q.tolist())], dtype=bool)
+        both = np.zeros(len(p), dtype=np.int64)
+        step = max(1, (1 << 20) // max(1, self.bits.shape[1]))
+        for at in range(0, len(p), step):
+            x, y = p[at : at + step], q[at : at + step]
+            both[at : at + step] = np.bitwise_count(self.bits[x] & self.bits[y]).sum(1, dtype=np.int64)
+        return 100 * both >= self.percent * (self.size[p] + self.size[q] - both)
+
+
 def _rest(forest: DataFrame, labels: DataFrame, sets_of, least: int, leaf: int, percent: int, unique: bool) -> DataFrame:
     """(u, v): confirmed links between the components of each region of more than ``leaf`` rows.
 
@@ -358,24 +390,23 @@ def _rest(forest: DataFrame, labels: DataFrame, sets_of, least: int, leaf: int,
 
     def links(rows: pa.Table) -> pa.Table:
         """A spanning forest of the links between the cell's components; likely pairs first."""
-        us, vs, root = [], [], {}
+        us, vs = [], []
         own = _Cell(rows, *limits)
+        linked = _Linked(rows["set"].combine_chunks(), percent)
         p, q, likely = (np.concatenate([*x]) for x in zip(*own.pairs()))
-        sets = rows["set"].combine_chunks()
-        value = lambda i: np.frombuffer(sets[i].as_buffer(), "<u8")
-
-        def find(x):
-            while x in root:
-                x = root[x]
-            return x
-
-        for k in np.argsort(-likely, kind="stable").tolist():
-            i, j = int(p[k]), int(q[k])
-            a, b = find(int(own.label[i])), find(int(own.label[j]))
-            if a != b and similar(value(i), value(j), percent):
-                root[max(a, b)] = min(a, b)
-                us.append(int(own.ids[i]))
-                vs.append(int(own.ids[j]))
+        part = np.unique(own.label, return_inverse=True)[1]
+        root = np.arange(int(part.max()) + 1)
+        order, at, step = np.argsort(-likely, kind="stable"), 0, 256
+        while at < len(order):
+            k = order[at : at + step]
+            at, step = at + step, min(2 * step, 1 << 16)
+            k = k[root[part[p[k]]] != root[part[q[k]]]]
+            for i, j in zip(*(x[k[linked(p[k], q[k])]].tolist() for x in (p, q))):
+                a, b = root[part[i]], root[part[j]]
+                if a != b:
+                    root[root == max(a, b)] = min(a, b)
+                    us.append(int(own.ids[i]))
+                    vs.append(int(own.ids[j]))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     held = cut(rows.groupBy(*cell).applyInArrow(ends, rows.schema))
@@ -429,6 +460,9 @@ PAIRS_IN_ONE = 50
 #: rows, and shingles of all their sets, of a block of a large region
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
+#: bytes of the bits that stand for the shingles of two blocks
+CELL_BYTES = 1 << 24
+
 #: (trees, rows of a leaf, neighbours on either side) of each round
 ROUNDS = ((2, 1, 1), (8, 4, 2), (TREES, 8, 4))
 

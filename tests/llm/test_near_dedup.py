@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,15 @@ def test_links_inside_a_crowded_template(spark, monkeypatch):
     for block in (near_dedup.BLOCK, 100):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(df).collect()} == want
+
+
+@pytest.mark.parametrize("cell_bytes", [near_dedup.CELL_BYTES, 0])
+def test_links_by_bits(monkeypatch, cell_bytes):
+    monkeypatch.setattr(near_dedup, "CELL_BYTES", cell_bytes)
+    rnd = random.Random(4)
+    stock = [rnd.randrange(2**64) for _ in range(150)]
+    sets = [frozenset(rnd.sample(stock, rnd.randrange(100, 150)) + [rnd.randrange(2**64) for _ in range(rnd.randrange(4))]) for _ in range(60)] + [frozenset([1])]
+    packed = pa.array([np.array(sorted(x), "<u8").tobytes() for x in sets], pa.binary())
+    p, q = np.triu_indices(61, 1)
+    want = [100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i, j in zip(p, q)]
+    assert near_dedup._Linked(packed, 80)(p, q).tolist() == want and 0 < sum(want) < len(want)
