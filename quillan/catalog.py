@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillan.functions import bits, distance, quantize
 from quillan.functions import vectors as vec
 from quillan.functions.distance import Measure
-from quillan.operators import diversify, filters, knn, sampling, sets, statistics
+from quillan.operators import crossed, diversify, filters, knn, sampling, sets, statistics
 from quillan.schema import DOUBLES
 from quillan.plans import gmm, index, kmeans, partitioned, pq, projections
 from quillan.streaming import mutations
@@ -442,11 +442,10 @@ def adc_rerank(spark, sf_dir):
 
 @query(f"WITH {E}, {_PQ}, {_ADC} SELECT qid, id, round(d, 6) AS dist FROM ad")
 def adc_expressions(spark, sf_dir):
-    """The same distances as column expressions."""
+    """The same distances of all pairs; ``pq.adc`` is their expression on a table of pairs."""
     rows = embeddings(spark, sf_dir)
     book = _book(rows)
-    both = knn.paired(pq.encode(rows, book).select("id", "codes"), pq.with_tables(asked(rows), book).select(F.col("id").alias("qid"), "lut"))
-    return both.select("qid", "id", six(pq.adc(F.col("codes"), F.col("lut"))).alias("dist"))
+    return crossed.crossed(pq.encode(rows, book), asked(rows), pq.Lookup(book), 6)
 
 
 _PQ4 = _PQ.replace(f"< {CODES}", "< 16")

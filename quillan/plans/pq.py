@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quillan.errors import InvalidArgument
 from quillan.functions.bits import pack_nibbles, unpack_nibbles
 from quillan.functions.vectors import fold
+from quillan.operators.crossed import Scorer, by_columns
 from quillan.operators.knn import stack
 from quillan.operators.sampling import sample
 from quillan.schema import DOUBLES, SHORTS, extended
@@ -54,8 +55,10 @@ class Codebook:
         most = max(len(c) for c in self.parts)
         out = np.full((len(q), len(self.parts), most), np.inf)
         for s, c in enumerate(self.parts):
-            sub = q[:, s * self.width : (s + 1) * self.width]
-            out[:, s, : len(c)] = ((sub[:, None, :] - c[None, :, :]) ** 2).sum(2)
+            d = np.zeros((len(q), len(c)))
+            for i in range(self.width):
+                d += (q[:, s * self.width + i, None] - c[None, :, i]) ** 2
+            out[:, s, : len(c)] = d
         return out
 
     def table(self, spark) -> DataFrame:
@@ -147,6 +150,36 @@ def adc_int8(codes: Column, lut8: Column) -> Column:
     return adc_int8_raw(codes, lut8) / lut8["scale"] + lut8["low"] * F.size(codes)
 
 
+class Lookup(Scorer):
+    """Asymmetric distances of vectors to codes: table entries, summed; null where the vector or the codes are."""
+
+    column = "codes"
+
+    def __init__(self, book: Codebook):
+        self.book = book
+
+    def ask(self, column):
+        own, bad = by_columns(column, len(self.book.parts) * self.book.width)
+        return [None if out else t for t, out in zip(self.book.tables(own.T), bad)]
+
+    def score(self, asked, column):
+        x, bad = by_columns(column, len(self.book.parts))
+        codes, bad = x.astype(np.intp), bad if bad.any() else None
+        for table in asked:
+            yield self._one(table, codes) if table is not None else [np.zeros(len(column))], np.ones(len(column), bool) if table is None else bad
+
+    def _one(self, table: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
+        return [_entries(table, codes)]
+
+
+def _entries(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """One entry of each row of the table, summed."""
+    out = np.zeros(codes.shape[1], table.dtype)
+    for entries, at in zip(table, codes):
+        out += entries[at]
+    return out
+
+
 def pack4(codes: Column) -> Column:
     """Codes 0 to 15, two to a byte, the first in the low nibble."""
     return pack_nibbles(codes.cast("array<int>"))
