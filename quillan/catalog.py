@@ -175,11 +175,10 @@ round(CASE WHEN {over('greatest({a}, {b})')} = 0 THEN 0.0 ELSE 1 - {over('least(
 round({over('abs({a} - {b})')}, 6) AS l1, round({over('({a} - {b}) * ({a} - {b})')}, 6) AS sql2, round(-list_inner_product(w, v), 6) + 0.0 AS dot,
 round(CASE WHEN list_sum(w) = 0 OR list_sum(v) = 0 THEN 1.0 ELSE 1 - list_inner_product(w, v) / (sqrt(list_inner_product(w, w)) * sqrt(list_inner_product(v, v))) END, 6) + 0.0 AS cosine FROM b""")
 def sparse_measures(spark, sf_dir):
-    """Set and sparse measures on structs of indices and values."""
+    """Set and sparse measures of all pairs of structs of indices and values; ``distance.sparse_distance`` is their expression on a table of pairs."""
     rows = embeddings(spark, sf_dir).select("id", vec.to_sparse(F.transform("vec", lambda x: F.when(x > 0.1, x).otherwise(0.0))).alias("s"))
-    both = knn.paired(rows.withColumnRenamed("s", "b"), asked(rows).select(F.col("id").alias("qid"), F.col("s").alias("a")))
-    d = lambda m: six(distance.sparse_distance(m, F.col("a"), F.col("b")))
-    return both.select("qid", "id", d("jaccard").alias("jaccard"), d("dice").alias("dice"), six(distance.overlap_coefficient(F.col("a.indices"), F.col("b.indices"))).alias("overlap"), d("non_zero_intersect").alias("nzi"), six(distance.weighted_jaccard(F.col("a"), F.col("b"))).alias("wjaccard"), d("l1").alias("l1"), d("squared_l2").alias("sql2"), d("dot").alias("dot"), d("cosine").alias("cosine"))
+    short = {"non_zero_intersect": "nzi", "weighted_jaccard": "wjaccard", "squared_l2": "sql2"}
+    return crossed.crossed(rows, asked(rows), crossed.Sparse(), 6).withColumnsRenamed(short)
 
 
 @query(f"""WITH {E} SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(list_sum(v), 6) + 0.0 AS total,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillan import catalog, catalog_models  # noqa: F401  registers its queries
+from quillan.functions import distance
 from quillan.operators import crossed, knn
 from quillan.plans import pq
 
@@ -61,3 +62,38 @@ def test_lookups_of_missing_vectors(spark):
     q = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [None, 1.0])], "id long, vec array<double>")
     got = {(r["qid"], r["id"]): r["dist"] for r in crossed.crossed(base, q, pq.Lookup(book)).collect()}
     assert got == {(a, b): 4.0 if (a, b) == (1, 1) else None for a in (1, 2, 3) for b in (1, 2)}
+
+
+def sparse(spark, rows):
+    return spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "id long, s struct<dim: bigint, indices: array<bigint>, vals: array<double>>")
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 8])
+def test_sparse_pairs(spark, monkeypatch, cells):
+    monkeypatch.setattr(crossed.Sparse, "cells", cells)
+    rng = np.random.default_rng(6)
+    rows = [(10**9, sorted(map(int, rng.choice([0, 3, 5, 7, 10**8, 10**8 + 1], n, replace=False))), [float(v) for v in rng.choice([-1.5, 0.0, 0.3, 2.0], n)]) for n in rng.integers(0, 6, 40)]
+    df = sparse(spark, rows)
+    q = df.where("id % 5 = 0")
+    got = table(crossed.crossed(df, q, crossed.Sparse()))
+    both = knn.paired(df.withColumnRenamed("s", "b"), q.select(F.col("id").alias("qid"), F.col("s").alias("a")))
+    a, b = F.col("a"), F.col("b")
+    d = lambda m: distance.sparse_distance(m, a, b).alias(m)
+    want = table(both.select("qid", "id", d("jaccard"), d("dice"), distance.overlap_coefficient(a["indices"], b["indices"]).alias("overlap"), d("non_zero_intersect"), distance.weighted_jaccard(a, b).alias("weighted_jaccard"), *[d(m) for m in ("l1", "squared_l2", "dot", "cosine")]))
+    assert list(got.columns) == list(want.columns) and len(got) == 320 and np.allclose(got, want, atol=1e-12)
+
+
+def test_sparse_rows_that_are_missing_or_wrong(spark):
+    whole = (9, [1, 4], [1.0, 2.0])
+    df = sparse(spark, [whole, None, (9, None, None), (9, [1, 2], [None, 1.0]), (9, [], [])])
+    got = {(r["qid"], r["id"]): r["l1"] for r in crossed.crossed(df, df, crossed.Sparse()).collect()}
+    assert got == {(a, b): None if {a, b} & {1, 2, 3} else 0.0 if a == b else 3.0 for a in range(5) for b in range(5)}
+    for bad in ((9, [1, 1], [1.0, 2.0]), (9, [1, 2], [1.0])):
+        for base, q in (([whole], [bad]), ([bad], [whole])):
+            with pytest.raises(Exception, match="one value for each"):
+                crossed.crossed(sparse(spark, base), sparse(spark, q), crossed.Sparse()).collect()
+
+
+def test_sparse_measures_hand_out_no_vectors(spark):
+    df = catalog.QUERIES["sparse_measures"](spark, SF)
+    assert df.columns == ["qid", "id", "jaccard", "dice", "overlap", "nzi", "wjaccard", "l1", "sql2", "dot", "cosine"] and "a#" not in outputs(df)
