@@ -166,12 +166,45 @@ class Lookup(Scorer):
         x, bad = by_columns(column, len(self.book.parts))
         codes, bad = x.astype(np.intp), bad if bad.any() else None
         for table in asked:
-            yield self._one(table, codes) if table is not None else [np.zeros(len(column))], np.ones(len(column), bool) if table is None else bad
+            if table is None:
+                yield self._none(len(column)), np.ones(len(column), bool)
+            else:
+                yield self._one(table, codes), bad
+
+    def _none(self, n: int) -> list[np.ndarray]:
+        return [np.zeros(n)]
 
     def _one(self, table: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
         return [_entries(table, codes)]
 
 
+class Lookup8(Lookup):
+    """The same through tables of 8-bit entries, made as ``to_int8`` does from the entries in use."""
+
+    fields = "raw int, dist double"
+
+    def ask(self, column):
+        out = []
+        for t in super().ask(column):
+            if t is not None and (np.isnan(t).any() or np.isinf(t).all()):  # the vector is not finite, nor any distance
+                t = np.zeros(t.shape, np.int32), 1.0, t.min()
+            elif t is not None:
+                used = t[np.isfinite(t)]
+                low, high = used.min(), used.max()
+                scale = 255.0 / (high - low) if high > low else 1.0
+                t = np.floor((np.where(np.isfinite(t), t, high) - low) * scale + 0.5).astype(np.int32), scale, low
+            out.append(t)
+        return out
+
+    def _none(self, n):
+        return [np.zeros(n, np.int32), np.zeros(n)]
+
+    def _one(self, table, codes):
+        entries, scale, low = table
+        raw = _entries(entries, codes)
+        return [raw, raw / scale + low * len(codes)]
+
+
 def _entries(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """One entry of each row of the table, summed."""
     out = np.zeros(codes.shape[1], table.dtype)

@@ -97,3 +97,22 @@ def test_sparse_rows_that_are_missing_or_wrong(spark):
 def test_sparse_measures_hand_out_no_vectors(spark):
     df = catalog.QUERIES["sparse_measures"](spark, SF)
     assert df.columns == ["qid", "id", "jaccard", "dice", "overlap", "nzi", "wjaccard", "l1", "sql2", "dot", "cosine"] and "a#" not in outputs(df)
+
+
+def test_adc_int8_hands_out_no_tables(spark):
+    df = catalog.QUERIES["adc_int8"](spark, SF)
+    assert df.columns == ["qid", "id", "raw", "dist"] and "lut8" not in outputs(df)
+
+
+def test_lookups_of_8_bits(spark, cloud):
+    x, df = cloud
+    book = pq.Codebook(tuple(x[:20, s * 4 : s * 4 + 4] for s in range(3)))
+    coded, q = pq.encode(df, book).select("id", "codes"), df.where("id % 9 = 0")
+    got = table(crossed.crossed(coded, q, pq.Lookup8(book)))
+    both = knn.paired(coded, pq.with_tables(q, book).select(F.col("id").alias("qid"), pq.to_int8(F.col("lut")).alias("lut8")))
+    want = table(both.select("qid", "id", pq.adc_int8_raw(F.col("codes"), F.col("lut8")).alias("raw"), pq.adc_int8(F.col("codes"), F.col("lut8")).alias("dist")))
+    assert got.equals(want) and len(got) == 900
+    alike = pq.Codebook(tuple(np.zeros((n, 4)) for n in (2, 1, 2)))
+    q = frame(spark, np.array([[0.0] * 12])).unionByName(spark.createDataFrame([(1, None), (2, [np.inf] * 12)], "id long, vec array<double>"))
+    got = crossed.crossed(spark.createDataFrame([(5, [1, 0, 1]), (6, None)], "id long, codes array<smallint>"), q, pq.Lookup8(alike))
+    assert {r[:] for r in got.collect()} == {(0, 5, 0, 0.0), (0, 6, None, None), (1, 5, None, None), (1, 6, None, None), (2, 5, 0, np.inf), (2, 6, None, None)}
