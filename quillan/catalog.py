@@ -154,12 +154,10 @@ def pairwise(spark, sf_dir):
 round(-list_inner_product(w, v), 6) + 0.0 AS dot, round(list_cosine_distance(w, v), 6) + 0.0 AS cosine, {DIST['hamming']} AS hamming,
 {DIST['non_zero_intersect']} AS nzi, round({DIST['squared_l2']}, 6) AS dice FROM q, e""")
 def measures(spark, sf_dir):
-    """One-to-one measures as column expressions."""
+    """One-to-one measures of all pairs; ``distance.distance`` is their expression on a table of pairs."""
     rows = embeddings(spark, sf_dir)
-    q = asked(rows).select(F.col("id").alias("qid"), F.col("vec").alias("w"))
-    both = knn.paired(rows, q)
-    d = lambda m: distance.distance(m, F.col("w"), F.col("vec"), True)
-    return both.select("qid", "id", six(d("l1")).alias("l1"), six(d("l2")).alias("l2"), six(d("squared_l2")).alias("sql2"), six(d("dot")).alias("dot"), six(d("cosine")).alias("cosine"), d("hamming").alias("hamming"), d("non_zero_intersect").alias("nzi"), six(d("dice")).alias("dice"))
+    score = crossed.Dense("l1", "l2", "squared_l2", "dot", "cosine", "hamming", "non_zero_intersect", "dice")
+    return crossed.crossed(rows, asked(rows), score, 6).withColumnsRenamed({"squared_l2": "sql2", "non_zero_intersect": "nzi"})
 
 
 _SPARSE = "sp AS (SELECT id, list_transform(range(1, 65), lambda i: CASE WHEN v[i] > 0.1 THEN v[i] ELSE 0.0 END) AS v FROM e), " + "sx AS (SELECT id, v, list_filter(range(0, 64), lambda i: v[i + 1] <> 0) AS ix FROM sp)"

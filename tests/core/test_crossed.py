@@ -116,3 +116,32 @@ def test_lookups_of_8_bits(spark, cloud):
     q = frame(spark, np.array([[0.0] * 12])).unionByName(spark.createDataFrame([(1, None), (2, [np.inf] * 12)], "id long, vec array<double>"))
     got = crossed.crossed(spark.createDataFrame([(5, [1, 0, 1]), (6, None)], "id long, codes array<smallint>"), q, pq.Lookup8(alike))
     assert {r[:] for r in got.collect()} == {(0, 5, 0, 0.0), (0, 6, None, None), (1, 5, None, None), (1, 6, None, None), (2, 5, 0, np.inf), (2, 6, None, None)}
+
+
+def test_measures_hand_out_no_vectors(spark):
+    df = catalog.QUERIES["measures"](spark, SF)
+    assert df.columns == ["qid", "id", "l1", "l2", "sql2", "dot", "cosine", "hamming", "nzi", "dice"] and "vec" not in outputs(df)
+
+
+@pytest.mark.parametrize("piece", [4096, 1])
+def test_dense_pairs(cloud, monkeypatch, piece):
+    monkeypatch.setattr(crossed, "PIECE", piece)
+    x, _ = cloud
+    x = np.where(np.abs(x) < 0.3, 0.0, np.round(x, 1) * 0.2)
+    x[3] = 0.0
+    df = frame(cloud[1].sparkSession, x)
+    names = [m.value for m in distance.Measure]
+    got = table(crossed.crossed(df, df.where("id % 9 = 3"), crossed.Dense(*names)))
+    both = knn.paired(df, df.where("id % 9 = 3").select(F.col("id").alias("qid"), F.col("vec").alias("w")))
+    want = table(both.select("qid", "id", *[distance.distance(m, F.col("w"), F.col("vec"), True).alias(m) for m in names]))
+    exact = [m for m in names if m != "cosine"]
+    assert got[exact].equals(want[exact]) and np.allclose(got["cosine"], want["cosine"], atol=1e-15) and len(got) == 900
+
+
+def test_dense_pairs_of_odd_vectors(spark):
+    kind = "id long, vec array<double>"
+    base = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0]), (3, [None, 1.0]), (4, [float("nan"), 2.0]), (5, [])], kind)
+    got = {(r["qid"], r["id"]): (r["l1"], r["hamming"]) for r in crossed.crossed(base, base, crossed.Dense("l1", "hamming")).collect()}
+    null = (None, None)
+    assert len(got) == 36 and got[0, 0] == got[2, 2] == got[5, 5] == (0.0, 0.0) and got[0, 2] == got[2, 0] == got[5, 0] == got[3, 3] == got[1, 1] == got[0, 1] == got[0, 3] == null
+    assert np.isnan(got[0, 4][0]) and got[0, 4][1] == 1.0 and got[4, 4][1] == 0.0
