@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillan import catalog, catalog_models  # noqa: F401  registers its queries
 from quillan.errors import FailedPrecondition, InvalidArgument
-from quillan.operators import knn, statistics
+from quillan.operators import crossed, knn, statistics
 from quillan.plans import gmm, index, kmeans, partitioned, pq, projections
 from quillan.sources import datasets
 
@@ -151,6 +152,17 @@ def test_projections(spark, waves):
     both = projections.chunked([projections.identity(2), projections.random_orthogonal(3, 2)])
     assert both.weights.shape == (5, 4) and both.invertible
     assert projections.identity(32)(df).where("projected = vec").count() == 500
+    x = x.astype(np.float32)
+    assert all(np.array_equal(x[r["id"]], r["restored"]) for r in turn.inverse(turn(frame(spark, x)), single=True).collect())
+
+
+@pytest.mark.parametrize("name", ["chunked"])
+def test_round_trips_keep_values_halfway_between_roundings(spark, tmp_path, name):
+    x = (2 * np.random.default_rng(8).integers(-20, 20, (120, 64)) + 1) / 128
+    rows = pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": [0] * len(x)})
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES[f"{name}_round_trip"](spark, str(tmp_path)).collect()
+    assert len(got) == 120 and all(np.array_equal(crossed.rounded(x[r["id"]], 6), r["restored"]) for r in got)
 
 
 @pytest.mark.parametrize("kind", gmm.KINDS)
