@@ -152,7 +152,10 @@ def test_projections(spark, waves):
     both = projections.chunked([projections.identity(2), projections.random_orthogonal(3, 2)])
     assert both.weights.shape == (5, 4) and both.invertible
     assert projections.identity(32)(df).where("projected = vec").count() == 500
-    x = x.astype(np.float32)
+
+
+def test_single_floats_come_back_as_they_were(spark, waves):
+    x, turn = waves[0].astype(np.float32), projections.random_orthogonal(32, 32, 123)
     assert all(np.array_equal(x[r["id"]], r["restored"]) for r in turn.inverse(turn(frame(spark, x)), single=True).collect())
 
 
