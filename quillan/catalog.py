@@ -156,8 +156,8 @@ round(-list_inner_product(w, v), 6) + 0.0 AS dot, round(list_cosine_distance(w,
 def measures(spark, sf_dir):
     """One-to-one measures of all pairs; ``distance.distance`` is their expression on a table of pairs."""
     rows = embeddings(spark, sf_dir)
-    score = crossed.Dense("l1", "l2", "squared_l2", "dot", "cosine", "hamming", "non_zero_intersect", "dice")
-    return crossed.crossed(rows, asked(rows), score, 6).withColumnsRenamed({"squared_l2": "sql2", "non_zero_intersect": "nzi"})
+    score = crossed.Dense("l1", "l2", "squared_l2", "dot", "cosine", "hamming", "non_zero_intersect", "dice", names={"squared_l2": "sql2", "non_zero_intersect": "nzi"})
+    return crossed.crossed(rows, asked(rows), score, 6)
 
 
 _SPARSE = "sp AS (SELECT id, list_transform(range(1, 65), lambda i: CASE WHEN v[i] > 0.1 THEN v[i] ELSE 0.0 END) AS v FROM e), " + "sx AS (SELECT id, v, list_filter(range(0, 64), lambda i: v[i + 1] <> 0) AS ix FROM sp)"

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,60 @@ def test_dense_pairs_of_odd_vectors(spark):
     null = (None, None)
     assert len(got) == 36 and got[0, 0] == got[2, 2] == got[5, 5] == (0.0, 0.0) and got[0, 2] == got[2, 0] == got[5, 0] == got[3, 3] == got[1, 1] == got[0, 1] == got[0, 3] == null
     assert np.isnan(got[0, 4][0]) and got[0, 4][1] == 1.0 and got[4, 4][1] == 0.0
+
+
+def test_settled():
+    x = np.array([0.25, 1e-9, -1e-9, 0.1499, np.nan, np.inf, 1e308])
+    with np.errstate(all="ignore"):
+        whole, sure = crossed.settled(x, 1, 0.001)
+    assert sure.tolist() == [False, True, True, False, False, False, False] and whole[1:4].tolist() == [0.0, 0.0, 0.1] and not np.signbit(whole[1:3]).any()
+
+
+def scored(scorer, run, queries, rows, digits):
+    """Fields by query and row, None where they are null."""
+    exact = [name in scorer.exact for name in (f.split()[0] for f in scorer.fields.split(", "))]
+    column, out = pa.array(rows, pa.list_(pa.float64())), {}
+    with np.errstate(all="ignore"):
+        for own, values, bad in run(scorer, scorer.ask(pa.array(queries, pa.list_(pa.float64()))), column, digits, exact):
+            pairs = [(i, j) for i in own for j in range(len(rows))]
+            out |= dict(zip(pairs, zip(*[pa.array(v, mask=bad).to_pylist() for v in values]), strict=True))
+    return out
+
+
+def unit(n, dim=16):
+    x = np.random.default_rng(7).normal(size=(n, dim)).astype(np.float32).astype(float)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+ODD = [None, [], [1.0], [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [0.0] * 15, [0.0] * 16, [-0.0] * 16, [1e-170] * 16, [1e170] * 16, [0.0078125] * 16]
+CLOUDS = {
+    "unit": unit(300),
+    "long": unit(100) * 1e7,
+    "short": unit(100) * 1e-7,
+    "halves": np.random.default_rng(8).integers(-3, 4, (200, 16)) * 2.0**-7,
+    "copies": np.repeat(unit(5), 40, axis=0),
+    "near": unit(1) + 1e-9 * unit(100),
+}
+
+
+@pytest.mark.parametrize("cloud", CLOUDS)
+@pytest.mark.parametrize("digits", [2, 6, 14])
+def test_rounded_pairs_are_those_of_sums_in_order(cloud, digits):
+    rows = [*CLOUDS[cloud].tolist(), *ODD]
+    scorer = crossed.Dense(*distance.Measure)
+    queries = rows[:: len(rows) // 20] + ODD
+    got, want = (scored(scorer, run, queries, rows, digits) for run in (crossed.Dense.scored, crossed.Scorer.scored))
+    assert got.keys() == want.keys() and len(got) == len(queries) * len(rows) and str(sorted(got.items())) == str(sorted(want.items()))
+
+
+def test_measures_sum_few_pairs_in_order(monkeypatch):
+    rows, summed, one = unit(2000).tolist(), [], crossed.Dense._one
+    monkeypatch.setattr(crossed.Dense, "_one", lambda self, q, x, *more: summed.append(x.shape[1]) or one(self, q, x, *more))
+    scorer = crossed.Dense("l1", "l2", "squared_l2", "dot", "cosine", "hamming", "non_zero_intersect", "dice")
+    assert len(scored(scorer, type(scorer).scored, rows[::50], rows, 6)) == 80_000 and 40 <= sum(summed) < 80
+
+
+def test_dense_columns_by_name(spark):
+    df = frame(spark, np.array([[0.25, 1.0], [0.25, 0.0]]))
+    got = crossed.crossed(df, df.where("id = 0"), crossed.Dense("squared_l2", "hamming", names={"squared_l2": "a", "hamming": "b"}), 1)
+    assert got.columns == ["qid", "id", "a", "b"] and {r[:] for r in got.collect()} == {(0, 0, 0.0, 0.0), (0, 1, 1.0, 1.0)}
